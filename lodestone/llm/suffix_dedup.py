@@ -27,7 +27,7 @@ from .jaccard_join import bit_filter, passes
 LENGTH = 200
 GRAM = 32
 #: Segment rows a bucket should hold, and rows of one minimizer above which it is hot.
-BUCKET_ROWS, HOT = 3_000, 400
+BUCKET_ROWS, HOT = 3_000, 3_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
