@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, table
+from .common import materialize, table
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -32,15 +32,23 @@ BLOCK = 400
 #: Bits of the filters that tell tasks what to skip: a bounded broadcast; what passes by chance only costs work.
 BITS = 1 << 23
 CACHE_WORDS = 500_000
-_TO_LOWER = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _M = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of other than space and tab to carriage return, A-Z lower-cased."""
-    return [w for w in (text or "").translate(_SPACES).translate(_TO_LOWER).split(" ") if w]
+class _Hashes(dict):
+    """64-bit hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of other than space and tab to carriage return, A-Z lower-cased, in UTF-8 (where bytes know ASCII only)."""
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -50,12 +58,7 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > CACHE_WORDS:
         _words.clear()
-    a = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _words.get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        a[i] = h
+    a = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(n, len(a))
     with np.errstate(over="ignore"):
         h = a[: len(a) - k + 1] + np.uint64(k)
@@ -83,15 +86,35 @@ def _long(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls and ext (the extended prefix in order of the unsigned hash) of each row."""
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Bit i is the parity of the tokens that are i modulo a power of two from n to 2n: two sketches differ in no more bits than their sets in tokens."""
+    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """False only if the sketches prove that the sets are not similar."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    differ = int(np.unpackbits(a ^ b).sum())
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
+
+
+def _scan(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, n and cls of each row; with `whole` also its sketch and ext (the extended prefix in order of the unsigned hash)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(t if isinstance(t, str) else None) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": [class_id(s) for s in sets], "ext": [_long(s[: extended_length(len(s))]) for s in sets]})
+            out = {"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": [class_id(s) for s in sets]}
+            if whole:
+                out |= {"sketch": [parity_sketch(s) for s in sets], "ext": [_long(s[: extended_length(len(s))]) for s in sets]}
+            yield pd.DataFrame(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, cls long, ext array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, cls long" + ", sketch binary, ext array<long>" * whole)
 
 
 def bit_filter(values: DataFrame, col: str) -> np.ndarray:
@@ -169,20 +192,31 @@ def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
     return out
 
 
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ok = [may_be_similar(*x) for x in zip(pdf["n_a"], pdf["sketch_a"], pdf["n_b"], pdf["sketch_b"])]
+        yield pdf.loc[ok, ["a", "first_a", "b", "first_b"]]
+
+
 def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the links that are not within one of the parts known so far."""
     pdf = pdf.drop_duplicates("cls")
     sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
     common, n = overlaps(sets), np.array([len(s) for s in sets], np.float64)
     linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
-    return pd.DataFrame(forest(pdf["cls"].to_numpy(np.int64), linked), columns=["a", "b"])
+    parts, at = np.unique(pdf["part"].to_numpy(np.int64), return_inverse=True)
+    joined = np.zeros((len(parts), len(parts)), bool)
+    x, y = np.nonzero(linked)
+    joined[at[x], at[y]] = True
+    return pd.DataFrame(forest(parts, joined), columns=["a", "b"])
 
 
 def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within buckets (key, cls, m), m the bucket's size: every pair of its blocks is one task's group."""
+    """Links within buckets (key, cls, part, m), m the bucket's size: every pair of its blocks is one task's group. Links are told by part."""
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("key", "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    pairs = other.select("key", "cls", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     return pairs.join(sets, "cls").groupBy("key", "x", "y").applyInPandas(_verify_block, "a long, b long")
 
 
@@ -243,8 +277,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
-    scan = materialize(_scan(docs), "shingles")
-    reps = materialize(scan.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "ext")).alias("r")).select("cls", F.col("r.doc_id").alias("first_id"), F.col("r.n").alias("n"), F.col("r.ext").alias("ext")), "classes")
+    found = _scan(docs, True).where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sketch", "ext")).alias("r"))
+    reps = materialize(found.select("cls", F.col("r.doc_id").alias("first_id"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), F.col("r.ext").alias("ext")), "classes")
     counts = materialize(reps.select(F.explode("ext").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "token-counts")
     rare, full = _index(reps, counts)
     rare, full = materialize(rare, "rare-index"), materialize(full, "full")
@@ -257,6 +291,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     bucket = index.where(F.col("m") <= RARE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "first_id"))).alias("s"))  # RARE at most
     pairs = bucket.select("s", F.posexplode("s").alias("i", "x")).select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y")).where(F.col("x.n") * 100 >= F.col("y.n") * PERCENT)
     pairs = materialize(pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.when(F.col("x.cls") < F.col("y.cls"), F.col("x.first_id")).otherwise(F.col("y.first_id")).alias("first_a"), F.when(F.col("x.cls") < F.col("y.cls"), F.col("y.first_id")).otherwise(F.col("x.first_id")).alias("first_b")).distinct(), "pairs")
+    sketches = reps.select("cls", "n", "sketch")
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    pairs = materialize(pairs.mapInPandas(_likely, "a long, first_a long, b long, first_b long"), "likely-pairs")
     large = index.where(F.col("m") > RARE)
     wanted = pairs.select(F.col("a").alias("cls"), F.col("first_a").alias("first_id")).union(pairs.select("b", "first_b")).union(large.select("cls", "first_id")).distinct()
     sets = materialize(whole_sets(docs, wanted), "sets")
@@ -264,18 +302,22 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # large buckets, first round: each set in the bucket of its least large token
     first = large.groupBy("cls").agg(F.min("token").alias("key"))
     first = first.join(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    links = materialize(found.union(_blocks(first.where("m > 1"), sets)), "links")
+    links = materialize(found.union(_blocks(first.where("m > 1").withColumn("part", F.col("cls")), sets)), "links")
     parts = materialize(connected_components(links), "parts")
-    # second round: buckets that still hold more than one component
+    # second round: buckets that still hold more than one component; sets that such buckets connect meet once, whatever the number of buckets
     rest = large.select(F.col("token").alias("key"), "cls", "m").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = materialize(_blocks(rest.join(mixed, "key").select("key", "cls", "m"), sets), "links-2")
+    rest = materialize(rest.join(mixed, "key").select("key", "cls", "component"), "mixed")
+    groups = connected_components(rest.join(rest.groupBy("key").agg(F.min("cls").alias("a")), "key").select("a", F.col("cls").alias("b")))
+    near = rest.select("cls", "component").distinct().join(groups.withColumnRenamed("node", "cls").withColumnRenamed("component", "key"), "cls", "left").select(F.coalesce("key", "cls").alias("key"), "cls", F.col("component").alias("part"))
+    near = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+    more = materialize(_blocks(near, sets), "links-2")
     if not more.isEmpty():
         parts = connected_components(links.union(more))
     label = reps.select("cls", "first_id").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("cls", "component_id")
     empty = F.col("n") == 0
-    return scan.select("doc_id", "n", "cls").join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _scan(docs, False).join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
