@@ -7,7 +7,7 @@ common prefixes at run ends alone, and stream matching statistics along the text
 less one. Windows whose matching statistic reaches 200, or whose segment has copies, are repeated.
 
 A minimizer with more than HOT segment rows (the edges of a passage that very many documents share) is not put in one
-bucket; its windows are counted by a 128-bit hash, pre-aggregated, so no task holds an unbounded group.
+bucket; its windows are counted by 128-bit hashes of blocks and, where blocks differ, of windows, pre-aggregated, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LENGTH = 200
 GRAM = 32
 #: Segment rows a bucket should hold, and rows of one minimizer above which it is hot.
 BUCKET_ROWS, HOT = 3_000, 3_000
+#: Windows of a block of a hot minimizer's segment.
+BLOCK = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -44,11 +46,11 @@ def _grams(raw: bytes) -> np.ndarray:
     return h
 
 
-def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, window after the last, and minimizer's hash (as long) of each segment of a text."""
+def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, window after the last, minimizer's hash (as long) and place of each segment of a text."""
     n = len(raw) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     h = _grams(raw)
     m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal ones
     width, have = length - GRAM + 1, 1
@@ -59,7 +61,7 @@ def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
     at = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.append(first[1:], n), h[at[first]].view(np.int64)
+    return first, np.append(first[1:], n), h[at[first]].view(np.int64), at[first]
 
 
 def _row_key(doc_id, raw: bytes) -> int:
@@ -80,7 +82,7 @@ def _minimizers(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "anchor long")
 
 
-PARTS = "kind int, anchor long, seg long, row_key long, start int, copies long, body binary"
+PARTS = "kind int, anchor long, seg long, row_key long, start int, copies long, back int, body binary"
 
 
 def _parts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -91,21 +93,21 @@ def _parts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         for pdf in batches:
             places, distinct = [], {}
             for doc_id, raw in _texts(pdf):
-                lo, hi, anchor = segments(raw)
+                lo, hi, anchor, place = segments(raw)
                 keep = passes(bits.value, anchor)
                 if not keep.any():
                     continue
                 key = _row_key(doc_id, raw)
-                for a, b, k in zip(lo[keep].tolist(), hi[keep].tolist(), anchor[keep].tolist()):
+                for a, b, k, p in zip(lo[keep].tolist(), hi[keep].tolist(), anchor[keep].tolist(), place[keep].tolist()):
                     body = raw[a : b + LENGTH - 1]
                     seg = xxhash.xxh3_64_intdigest(body) - (1 << 63)
                     places.append((k, seg, key, a))
                     old = distinct.get((k, seg))
-                    distinct[k, seg] = (old[0] + 1 if old else 1, body)
+                    distinct[k, seg] = (old[0] + 1 if old else 1, p - a, body)
             cols = list(zip(*places)) if places else [[], [], [], []]
-            yield pd.DataFrame({"kind": 0, "anchor": np.array(cols[0], np.int64), "seg": np.array(cols[1], np.int64), "row_key": pd.array(cols[2], dtype="Int64"), "start": pd.array(cols[3], dtype="Int32"), "copies": pd.array([None] * len(places), dtype="Int64"), "body": None})
+            yield pd.DataFrame({"kind": 0, "anchor": np.array(cols[0], np.int64), "seg": np.array(cols[1], np.int64), "row_key": pd.array(cols[2], dtype="Int64"), "start": pd.array(cols[3], dtype="Int32"), "copies": pd.array([None] * len(places), dtype="Int64"), "back": pd.array([None] * len(places), dtype="Int32"), "body": None})
             n = len(distinct)
-            yield pd.DataFrame({"kind": 1, "anchor": np.array([k for k, _ in distinct], np.int64), "seg": np.array([s for _, s in distinct], np.int64), "row_key": pd.array([None] * n, dtype="Int64"), "start": pd.array([None] * n, dtype="Int32"), "copies": pd.array([c for c, _ in distinct.values()], dtype="Int64"), "body": [b for _, b in distinct.values()]})
+            yield pd.DataFrame({"kind": 1, "anchor": np.array([k for k, _ in distinct], np.int64), "seg": np.array([s for _, s in distinct], np.int64), "row_key": pd.array([None] * n, dtype="Int64"), "start": pd.array([None] * n, dtype="Int32"), "copies": pd.array([c for c, _, _ in distinct.values()], dtype="Int64"), "back": pd.array([x for _, x, _ in distinct.values()], dtype="Int32"), "body": [b for _, _, b in distinct.values()]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PARTS)
 
@@ -219,33 +221,50 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def blocks_of(body: bytes, back: int) -> list[tuple[int, int, int, bytes, bytes | None]]:
+    """Blocks of a segment's windows by distance to the minimizer, which lies `back` bytes after the first window's start.
+
+    Number, first and last window, hash of what all windows of that block share, and hash of what they span if the segment has all of them.
+    """
+    out, n = [], len(body) - LENGTH + 1
+    for j in range((back - n + 1) // BLOCK, back // BLOCK + 1):
+        near, far = BLOCK * j, BLOCK * j + BLOCK - 1
+        lo, hi = max(0, back - far), min(n - 1, back - near)
+        core = xxhash.xxh3_128_digest(body[back - near : back - far + LENGTH])
+        whole = hi - lo == BLOCK - 1
+        out.append((j, lo, hi, core, xxhash.xxh3_128_digest(body[back - far : back - near + LENGTH]) if whole else None))
+    return out
+
+
 def _hot(rows: DataFrame) -> DataFrame:
-    """The same for hot minimizers, by counts of window hashes."""
-    per = rows.groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"))
+    """The same for hot minimizers, by counts of hashes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Windows go in blocks of neighbours. A block whose common part occurs once is out; one whose whole span occurs again is
+    in; windows of the others are counted one by one, against those of one of each group of equal spans.
+    """
+    per = materialize(rows.groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("back").alias("back"), F.first("body").alias("body")), "hot-segments")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                n = [len(b) - LENGTH + 1 for b in part["body"]]
-                hashes = [xxhash.xxh3_128_digest(b[k : k + LENGTH]) for b, m in zip(part["body"], n) for k in range(m)]
-                own = np.repeat(np.arange(len(part)), n)
-                yield pd.DataFrame({"anchor": part["anchor"].to_numpy()[own], "seg": part["seg"].to_numpy()[own], "copies": part["copies"].to_numpy()[own], "at": np.concatenate([np.arange(m) for m in n]).astype(np.int32) if n else np.zeros(0, np.int32), "window": hashes})
-
-    windows = materialize(per.mapInPandas(run, "anchor long, seg long, copies long, at int, window binary"), "hot-windows")
-    again = windows.groupBy("window").agg(F.sum("copies").alias("times")).where("times > 1").select("window")
-    held = windows.join(again, "window").groupBy("anchor", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # bounded by a segment
+            found = [(a, s, c, *b) for a, s, c, back, body in zip(pdf["anchor"], pdf["seg"], pdf["copies"], pdf["back"], pdf["body"]) for b in blocks_of(body, int(back))]
+            yield pd.DataFrame(found, columns=["anchor", "seg", "copies", "block", "lo", "hi", "core", "span"])
 
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = materialize(per.mapInPandas(cut, "anchor long, seg long, copies long, block int, lo int, hi int, core binary, span binary"), "hot-blocks")
+    shared = blocks.groupBy("anchor", "block", "core").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor", "block", "core")
+    spans = blocks.where("span is not null").groupBy("anchor", "block", "span").agg(F.sum("copies").alias("times"), F.min("seg").alias("one")).where("times > 1")
+    live = materialize(blocks.join(shared, ["anchor", "block", "core"]).join(spans, ["anchor", "block", "span"], "left"), "hot-live")
+    single = live.where("times is null or seg = one").select("anchor", "seg", "lo", "hi", F.coalesce("times", "copies").alias("copies")).join(per.select("anchor", "seg", "body"), ["anchor", "seg"])
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for at in pdf["at"]:
-                flags = np.zeros(max(at) + 1, bool)
-                flags[np.asarray(at)] = True
-                out.append(_ranges(flags))
-            yield pd.DataFrame({"anchor": pdf["anchor"], "seg": pdf["seg"], "ranges": out})
+            found = [(a, s, c, w, xxhash.xxh3_128_digest(body[w : w + LENGTH])) for a, s, lo, hi, c, body in pdf.itertuples(index=False) for w in range(lo, hi + 1)]
+            yield pd.DataFrame(found, columns=["anchor", "seg", "copies", "at", "window"])
 
-    return held.mapInPandas(ranges, "anchor long, seg long, ranges array<int>")
+    windows = materialize(single.mapInPandas(explode, "anchor long, seg long, copies long, at int, window binary"), "hot-windows")
+    again = windows.groupBy("window").agg(F.sum("copies").alias("times")).where("times > 1").select("window")
+    one = windows.join(again, "window").select("anchor", "seg", F.array("at", F.col("at") + 1).alias("range"))
+    many = live.where("times is not null").select("anchor", "seg", F.array("lo", F.col("hi") + 1).alias("range"))
+    return one.union(many).groupBy("anchor", "seg").agg(F.flatten(F.collect_list("range")).alias("ranges"))  # bounded by a segment
 
 
 def remove_ranges(raw: bytes, windows: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -267,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     repeated = materialize(_minimizers(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "minimizers")
     parts = materialize(_parts(docs, repeated), "segments")
-    bodies = parts.where("kind = 1").select("anchor", "seg", "copies", "body")
+    bodies = parts.where("kind = 1").select("anchor", "seg", "copies", "back", "body")
     per_anchor = materialize(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     hot = spark.sparkContext.broadcast(bit_filter(per_anchor, "anchor"))
 
@@ -276,7 +295,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for pdf in batches:
                 yield pdf[passes(hot.value, pdf["anchor"].to_numpy(np.int64)) == want]
 
-        return bodies.mapInPandas(run, "anchor long, seg long, copies long, body binary")
+        return bodies.mapInPandas(run, "anchor long, seg long, copies long, back int, body binary")
 
     buckets = n_buckets(spark, bodies.count(), BUCKET_ROWS)
     cold = split(False).groupBy(F.pmod(F.col("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: _bucket(pdf), "anchor long, seg long, ranges array<int>")
