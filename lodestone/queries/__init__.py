@@ -1,6 +1,8 @@
-"""Queries over the driver tables, one for each operator, with their SQL."""
+"""Queries over the driver tables, one or more for each operator, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import searches
+
+QUERIES: dict = dict(searches.QUERIES)
+SQL: dict[str, str] = dict(searches.SQL)
