@@ -58,20 +58,22 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     Equal rows draw alike. A source without words gets target 0 and no copies. No rows: no rows. Columns of docs
     stay as they are unless named like the four added ones, which replace them.
     """
-    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_source", "source_size", "target")
-    kept = docs.select(*[c for c in docs.columns if c not in added]).withColumn("mix_size", word_count(F.col("text")))
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in added])
     targets = source_targets(docs.select(F.col("source").alias("mix_source"), word_count(F.col("text")).alias("size")), weights, share, most)
+    targets = targets.select(F.col("mix_source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     targets = materialize(targets, "mix-targets")  # its size is then known, so Spark broadcasts it only below its threshold; beyond it adaptive execution splits hot sources
-    out = kept.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    own, of = F.struct(*[kept[f"`{c}`"] for c in kept.columns]), docs["source"].eqNullSafe(targets["mix_of"])
+    out = docs.select(own.alias("mix_row"), docs["source"], docs["doc_id"], word_count(docs["text"]).alias("mix_size")).join(targets, of)
+    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return out.select(*kept.columns, F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.cast("long").alias("mix_copies"))
+    return out.select("mix_row.*", "mix_size", "mix_source_size", "mix_target", copies.cast("long").alias("mix_copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as many times as plan_mix says, with the columns of docs."""
-    planned = plan_mix(docs, **how)
-    return planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    planned = plan_mix(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_given")), **how)
+    return planned.where("mix_copies > 0").select("mix_given", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("mix_given.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
