@@ -218,7 +218,7 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
                 out["anchor"].append(a)
                 out["seg"].append(g)
                 out["ranges"].append(r)
-    return pd.DataFrame(out)
+    return pd.DataFrame({"anchor": np.array(out["anchor"], np.int64), "seg": np.array(out["seg"], np.int64), "ranges": pd.Series(out["ranges"], dtype=object)})
 
 
 def blocks_of(body: bytes, back: int) -> list[tuple[int, int, int, bytes, bytes | None]]:
