@@ -195,7 +195,7 @@ def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ok = [may_be_similar(*x) for x in zip(pdf["n_a"], pdf["sketch_a"], pdf["n_b"], pdf["sketch_b"])]
-        yield pdf.loc[ok, ["a", "first_a", "b", "first_b"]]
+        yield pdf.loc[ok, ["a", "first_a", "b", "first_b"]].astype({"first_a": "Int64", "first_b": "Int64"})
 
 
 def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:

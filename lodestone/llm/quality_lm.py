@@ -46,7 +46,9 @@ def _counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["doc_id"].astype("Int64")
-            yield pdf[passes(bits.value, ids.fillna(0).to_numpy("int64")) & ids.notna().to_numpy() & pdf["text"].notna().to_numpy()]
+            own = passes(bits.value, ids.fillna(0).to_numpy("int64")) & ids.notna().to_numpy() & pdf["text"].notna().to_numpy()
+            if own.any():
+                yield pdf.assign(doc_id=ids)[own]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter[str] = Counter()
