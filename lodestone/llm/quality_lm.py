@@ -67,7 +67,8 @@ def _counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                     sums[g] += n
                 if len(sums) > 1_000_000:
                     yield out()
-        yield out()
+        if sums:
+            yield out()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(likely, "doc_id long, text string").join(trusted, "doc_id")
     return own.select("text").mapInPandas(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -163,7 +164,8 @@ def _score_by_shards(docs: DataFrame, model: DataFrame) -> DataFrame:
         for pdf in batches:
             for key, t in zip(pdf["row_key"], pdf["text"]):
                 n = Counter(g for w, k in Counter(t.lower().split() if isinstance(t, str) else []).items() for g in grams_of(w) * k)
-                yield pd.DataFrame({"row_key": key, "gram": list(n), "n": list(n.values())})
+                if n:
+                    yield pd.DataFrame({"row_key": key, "gram": list(n), "n": list(n.values())})
 
     rows = materialize(keyed.dropDuplicates(["row_key"]).select("row_key", "text").mapInPandas(run, "row_key long, gram string, n long"), "doc-grams")
     types = rows.select("gram").distinct().withColumn("weight", F.lit(1.0)).withColumn("p", F.lit(None).cast("double"))
