@@ -232,10 +232,10 @@ class Model:
 
 
 def _statistic(of: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Log-odds of label 1 where the bucket is present against the base rate, shrunken by PRIOR_DOCS documents of the base rate."""
+    """Log-odds of label 1 where the bucket is present against the base rate, shrunken by PRIOR_DOCS documents of the base rate. Buckets of a document are distinct."""
     pos, neg = (np.zeros(BUCKETS) for _ in range(2))
     for x, y in zip(of, labels):
-        (pos if y else neg)[np.unique(x)] += 1
+        (pos if y else neg)[x] += 1
     base = labels.mean()
     rate = (pos + PRIOR_DOCS * base) / (pos + neg + PRIOR_DOCS)
     return np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -4, 5)
@@ -249,7 +249,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
     features = []
     for t in texts:
         words = sorted(set(t.split()))
-        features.append(word_features(words)[:2] if words else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        features.append([np.unique(x).astype(np.int32) for x in word_features(words)[:2]] if words else [np.zeros(0, np.int32)] * 2)
     noise = 0.3 * r.standard_normal((BUCKETS, 3)), 0.3 * r.standard_normal((BUCKETS, 2))
 
     def tables(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,12 +266,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
         base = sum(map(len, inputs))
         for i in np.flatnonzero(half == k):
             w = windows(m.look_up(texts[i].split()))
-            per[i] = np.where(w > 0, w + base, 0)
+            per[i] = np.where(w > 0, w + base, 0).astype(np.int32)
         inputs.append(m.inputs[: m.n])
     x = np.concatenate(inputs)
     own, ids = np.repeat(np.arange(len(per)), [len(w) for w in per]), np.concatenate(per)
+    del per, inputs
     first = np.maximum(x[:, 0], x[:, 4])
-    score = first[ids].max(axis=1)  # before the first round: the largest statistic
+    score = np.concatenate([first[ids[i : i + BATCH]].max(axis=1) for i in range(0, len(ids), BATCH)])  # before the first round: the largest statistic
     for k in range(rounds):
         order = np.lexsort((-score, own))
         rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
