@@ -24,20 +24,19 @@ from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Pieces a task remembers, and code points it works on at once.
-CACHE_PIECES = 300_000
+#: Pieces of a generation of a worker's cache, which has two, and code points it works on at once.
+CACHE_PIECES = 350_000
 CHUNK = 2_000_000
 #: A contraction takes a round over a piece's rows, so pieces of more bytes take a heap instead, with the same result.
 LONG_PIECE = 2_000
 
 ENCODE = """
 WITH RECURSIVE state(piece, pos, token, round) AS (
-  SELECT piece, pos, token, 0 FROM start
+  SELECT piece, pos, token, 0::SMALLINT FROM start
   UNION ALL
   (WITH pairs AS (SELECT piece, pos, token, lead(pos) OVER w AS next_pos, lead(token) OVER w AS next_token FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-        open AS (SELECT piece, rank::BIGINT * 4294967296 + pos AS choice, next_pos FROM pairs JOIN merges ON a = token AND b = next_token),
-        best AS (SELECT piece, min(choice) AS choice, arg_min(next_pos, choice) AS gone FROM open GROUP BY piece)
-   SELECT s.piece, s.pos, CASE WHEN s.pos = (choice & 4294967295) THEN (choice >> 32)::INT ELSE s.token END, round + 1
+        best AS (SELECT piece, min(rank::BIGINT << 32 | pos) AS choice, arg_min(next_pos, rank::BIGINT << 32 | pos) AS gone FROM pairs JOIN merges ON a = token AND b = next_token GROUP BY piece)
+   SELECT s.piece, s.pos, CASE WHEN s.pos = (choice & 4294967295) THEN (choice >> 32)::INT ELSE s.token END, (round + 1)::SMALLINT
    FROM state s JOIN best USING (piece) WHERE s.pos <> gone)
 )
 SELECT piece, list(token ORDER BY pos) AS ids FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round) GROUP BY piece ORDER BY piece
@@ -60,6 +59,7 @@ class Codec:
         self._table("merges", {n: np.array(x, np.int32) for n, x in zip(("a", "b", "rank"), zip(*rows))} if rows else {n: np.zeros(0, np.int32) for n in ("a", "b", "rank")})
         self._table("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -133,9 +133,12 @@ class Codec:
         new = set()
         for pieces in group:
             new.update(pieces)
-        if len(self.ids) > CACHE_PIECES:
-            self.ids.clear()
+        if len(self.ids) > CACHE_PIECES:  # pieces not met in a whole generation are forgotten
+            self.ids, self.older = {}, self.ids
         new.difference_update(self.ids)
+        again = new.intersection(self.older)
+        self.ids.update(zip(again, map(self.older.__getitem__, again)))
+        new -= again
         if new:
             self._learn(sorted(new))
         get = self.ids.__getitem__
