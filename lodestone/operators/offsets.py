@@ -14,14 +14,14 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> Da
     """df with the sum of value over the rows before, in the order of columns `order`, which must be unique together."""
     keys = [F.col(c) for c in order]
     part = df.withColumn("__v", value).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    part = _fixed(part)
+    part = fixed(part)
     sums = part.groupBy("__p").agg(F.sum("__v").alias("__s"))  # one row for each range
     before = sums.withColumn("__b", F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
     w = Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return part.join(F.broadcast(before), "__p").withColumn(name, F.coalesce(F.sum("__v").over(w), F.lit(0)) + F.col("__b")).drop("__v", "__p", "__b")
 
 
-def _fixed(df: DataFrame) -> DataFrame:
+def fixed(df: DataFrame) -> DataFrame:
     """Keep partition numbers as they are now: ranges come from samples and could differ when computed again."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -19,7 +19,7 @@ def filter_tags(df: DataFrame, include: int = 0, exclude: int = 0, tags: str = "
 
 def bit(position: Column) -> Column:
     """1 shifted by a position; over 31 is an error."""
-    return F.when(position < MOST_TAGS, F.shiftleft(F.lit(1).cast("long"), position)).otherwise(F.raise_error(F.lit("over 32 tags")).cast("long"))
+    return F.when(position < MOST_TAGS, F.call_function("shiftleft", F.lit(1).cast("long"), position)).otherwise(F.raise_error(F.lit("over 32 tags")).cast("long"))
 
 
 def tag_mask(rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import searches
+from . import build, searches
 
-QUERIES: dict = dict(searches.QUERIES)
-SQL: dict[str, str] = dict(searches.SQL)
+QUERIES: dict = searches.QUERIES | build.QUERIES
+SQL: dict[str, str] = searches.SQL | build.SQL
