@@ -143,7 +143,7 @@ _add(
     _dates,
     r"""WITH t AS (SELECT unnest(['+1969-07-20T00:00:00Z', '-0500-01-01T00:00:00Z', '+1952-00-00T00:00:00Z', '', 'abc', '1969-07-20', '-13798000000-00-00T00:00:00Z']) AS text UNION SELECT DISTINCT strftime(o_orderdate, '+%Y-%m-%d') FROM orders),
 p AS (SELECT text, regexp_extract(text, '^(.)([0-9]+)-([0-9]+)-([0-9]+)', ['s', 'y', 'm', 'd']) AS r FROM t),
-c AS (SELECT text, CASE WHEN r.y = '' THEN -1 ELSE (CASE WHEN r.s = '-' THEN -1 ELSE 1 END) * r.y::BIGINT * 10000 + r.m::BIGINT * 100 + r.d::BIGINT END AS code FROM p),
+c AS (SELECT text, CASE WHEN r.y = '' THEN -1 ELSE (CASE WHEN r.s = '-' THEN -1 ELSE 1 END) * try_cast(r.y AS BIGINT) * 10000 + try_cast(r.m AS BIGINT) * 100 + try_cast(r.d AS BIGINT) END AS code FROM p),
 e AS (SELECT text, code, ((code % 10000) + 10000) % 10000 AS rest FROM c)
 SELECT text, code, (code - rest) // 10000 AS y, (rest // 100)::INT AS m, (rest % 100)::INT AS d, format('{:d}-{:02d}-{:02d}', (code - rest) // 10000, rest // 100, rest % 100) AS shown FROM e""",
 )
