@@ -25,7 +25,7 @@ from .common import table
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Pieces of a generation of a worker's cache, which has two, and code points it works on at once.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 CHUNK = 2_000_000
 #: A contraction takes a round over a piece's rows, so pieces of more bytes take a heap instead, with the same result.
 LONG_PIECE = 2_000
@@ -222,9 +222,23 @@ def decode_documents(encoded: DataFrame, path: str = RANKS, pattern: str = PATTE
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, ids and decoded of every whole text: encode_documents, then decode_documents, by one codec and one worker for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                ids = codec.encode(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding and decoding."""
-    out = decode_documents(encode_documents(docs))
+    out = round_trip(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
