@@ -2,8 +2,8 @@
 
 Texts are cut by the public pattern. Pieces that a task has not met before become token-position rows, one for each
 byte, and a recursive query joins neighbouring rows with the merge table and contracts the leftmost pair of least rank of
-each piece until no piece has a pair left; an ordered aggregation gives the ids, and another decodes ids to bytes. One pass, no
-shuffle: a task needs its batch, the merge table (bounded by the vocabulary) and a bounded cache of pieces.
+each piece until no piece has a pair left; the rows in order give the ids. An ordered aggregation decodes ids to bytes. One pass, no shuffle: a task needs its batch,
+the merge table (bounded by the vocabulary) and bounded caches of pieces and of runs of ids.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Pieces of a generation of a worker's cache, which has two, and code points it works on at once.
-CACHE_PIECES = 250_000
-CHUNK = 2_000_000
-#: A contraction takes a round over a piece's rows, so pieces of more bytes take a heap instead, with the same result.
-LONG_PIECE = 2_000
+#: Pieces that a worker keeps (when there are more, those met once go), and code points it works on at once.
+CACHE_PIECES = 400_000
+CHUNK = 1_000_000
+#: A contraction takes a round over a piece's rows, so work grows with the square of its length: pieces of more bytes take a heap instead, with
+#: the same result (README has the figures), and a batch of the recursion holds pieces whose squared lengths add up to at most BATCH_WORK.
+LONG_PIECE = 128
+BATCH_WORK = 8_000_000
 
 ENCODE = """
 WITH RECURSIVE state(piece, pos, token, round) AS (
@@ -39,9 +41,38 @@ WITH RECURSIVE state(piece, pos, token, round) AS (
    SELECT s.piece, s.pos, CASE WHEN s.pos = (choice & 4294967295) THEN (choice >> 32)::INT ELSE s.token END, (round + 1)::SMALLINT
    FROM state s JOIN best USING (piece) WHERE s.pos <> gone)
 )
-SELECT piece, list(token ORDER BY pos) AS ids FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round) GROUP BY piece ORDER BY piece
+SELECT piece, token FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round) ORDER BY piece, pos
 """
-DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM coded JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
+DECODE = "SELECT block, list(bytes ORDER BY pos) AS parts FROM coded JOIN vocabulary USING (id) GROUP BY block ORDER BY block"
+
+
+class _Numbers(dict):
+    """Numbers of pieces in the order they were first met; `new` has those that are not learned yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Lists:
+    """Numbered arrays, end to end."""
+
+    def __init__(self, dtype):
+        self.flat, self.at = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of these numbers end to end, and where each starts (and the last ends)."""
+        n = self.at[numbers + 1] - self.at[numbers]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.at[numbers] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class Codec:
@@ -54,42 +85,63 @@ class Codec:
         self.bytes_ = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         if (self.bytes_ < 0).any():
             raise ValueError("the ranks lack a single byte")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(a, b, r) for k, r in self.ranks.items() for i in range(1, len(k)) if (a := self.ranks.get(k[:i])) is not None and (b := self.ranks.get(k[i:])) is not None]
         self._table("merges", {n: np.array(x, np.int32) for n, x in zip(("a", "b", "rank"), zip(*rows))} if rows else {n: np.zeros(0, np.int32) for n in ("a", "b", "rank")})
         self._table("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.lengths[list(self.ranks.values())] = list(map(len, self.ranks))
+        self.numbers, self.ids, self.texts = _Numbers(), _Lists(np.int32), _Lists(np.uint8)
+        self.met = np.zeros(0, np.int64)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids, as int32 bytes, of pieces that are not known yet."""
-        todo = []
-        for x in pieces:
+    def _learn(self) -> None:
+        """Encode the new pieces."""
+        new, todo = self.numbers.new, []
+        found: list = [None] * len(new)
+        for i, x in enumerate(new):
             raw = x.encode("utf-8", "replace")
-            if raw in self.ranks:
-                self.ids[x] = np.int32(self.ranks[raw]).tobytes()
+            if (rank := self.ranks.get(raw)) is not None:
+                found[i] = (rank,)
             elif len(raw) > LONG_PIECE:
-                self.ids[x] = np.array(self._by_heap(raw), np.int32).tobytes()
+                found[i] = self._by_heap(raw)
             else:
-                todo.append((x, raw))
-        for i in range(0, len(todo), 100_000):
-            part = todo[i : i + 100_000]
+                todo.append((i, raw))
+        todo.sort(key=lambda x: len(x[1]))  # pieces of like lengths are done after like numbers of rounds
+        work = np.cumsum([len(r) ** 2 for _, r in todo]) // BATCH_WORK
+        cuts = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), len(todo)] if todo else []
+        for i, j in zip(cuts, cuts[1:]):
+            part = todo[i:j]
             n = np.array([len(r) for _, r in part])
             flat = np.frombuffer(b"".join(r for _, r in part), np.uint8)
             start = pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "token": self.bytes_[flat]})
             self.db.register("start", start)
             out = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            lists = out["ids"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
-            for (x, _), a, b in zip(part, at, at[1:]):
-                self.ids[x] = values[a:b].tobytes()
+            values = out["token"].to_numpy()
+            at = np.searchsorted(out["piece"].to_numpy(), np.arange(len(part) + 1)).tolist()
+            for (k, _), a, b in zip(part, at, at[1:]):
+                found[k] = values[a:b]
+        self.ids.append(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32), np.array([len(x) for x in found], np.int64))
+        self.numbers.new = []
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met more than once since the last time, if they are at most half of what may be kept."""
+        self.met.resize(len(self.numbers), refcheck=False)
+        keep = np.flatnonzero(self.met > 1)
+        keep = keep if len(keep) <= CACHE_PIECES // 2 else keep[:0]
+        old, names = (self.ids, self.texts), list(self.numbers)
+        self.numbers, self.ids, self.texts, self.met = _Numbers(), _Lists(np.int32), _Lists(np.uint8), np.zeros(0, np.int64)
+        for i in keep.tolist():
+            self.numbers[names[i]]
+        self.numbers.new = []
+        self.ids.append(*(lambda flat, ends: (flat, np.diff(ends)))(*old[0].take(keep)))
+        if len(old[1].at) > len(names):
+            self.texts.append(*(lambda flat, ends: (flat, np.diff(ends)))(*old[1].take(keep)))
 
     def _by_heap(self, raw: bytes) -> list[int]:
         """The same contraction in n log n: pairs wait in a heap by rank, then position."""
@@ -116,64 +168,75 @@ class Codec:
                 offer(before[i])
         return [self.ranks[x] for x in part if x]
 
+    def _groups(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time, the numbers of their pieces end to end, and where each text's start (and the last end); all are learned."""
+        i = 0
+        while i < len(texts):
+            if len(self.numbers) > CACHE_PIECES:
+                self._forget()
+            size, numbers = 0, []
+            while i < len(texts) and size < CHUNK:
+                pieces = self.pattern.findall(texts[i]) if texts[i] else []
+                numbers.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
+                size += len(texts[i] or "")
+                i += 1
+            if self.numbers.new:
+                self._learn()
+            flat = np.concatenate(numbers)
+            own = np.bincount(flat, minlength=len(self.numbers))
+            own[: len(self.met)] += self.met
+            self.met = own
+            yield flat, np.cumsum([0, *map(len, numbers)])
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; null or empty: none."""
-        out: list[np.ndarray] = []
-        group: list[list[str]] = []
-        size = 0
-        for t in texts:
-            group.append(self.pattern.findall(t) if t else [])
-            size += len(t or "")
-            if size >= CHUNK:
-                out += self._encode_group(group)
-                group, size = [], 0
-        return out + self._encode_group(group)
-
-    def _encode_group(self, group: list[list[str]]) -> list[np.ndarray]:
-        new = set()
-        for pieces in group:
-            new.update(pieces)
-        if len(self.ids) > CACHE_PIECES:  # pieces not met in a whole generation are forgotten
-            self.ids, self.older = {}, self.ids
-        new.difference_update(self.ids)
-        again = new.intersection(self.older)
-        self.ids.update(zip(again, map(self.older.__getitem__, again)))
-        new -= again
-        if new:
-            self._learn(sorted(new))
-        get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in group]
+        out = []
+        for numbers, ends in self._groups(texts):
+            flat, at = self.ids.take(numbers)
+            out += np.split(flat, at[ends[1:-1]])
+        return out
+
+    def round_trip(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Token ids of each text, and the bytes they decode to; the ids of a piece are decoded once."""
+        ids, decoded = [], []
+        for numbers, ends in self._groups(texts):
+            flat, at = self.ids.take(numbers)
+            ids += np.split(flat, at[ends[1:-1]])
+            done = len(self.texts.at) - 1
+            new, starts = self.ids.take(np.arange(done, len(self.numbers)))
+            if len(starts) > 1:
+                raw = np.frombuffer(self._decode_flat(new), np.uint8)
+                sizes = np.concatenate([[0], np.cumsum(self.lengths[new])])
+                self.texts.append(raw, np.diff(sizes[starts]))
+            flat, at = self.texts.take(numbers)
+            whole, cuts = flat.tobytes(), at[ends].tolist()
+            decoded += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        return ids, decoded
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids; unknown ids raise."""
-        out, part, size = [], [], 0
-        for x in ids:
-            part.append(x)
-            size += len(x)
-            if size >= CHUNK:
-                out += self._decode_part(part)
-                part, size = [], 0
-        return out + self._decode_part(part)
-
-    def _decode_part(self, ids: list[np.ndarray]) -> list[bytes]:
-        n = np.array([len(x) for x in ids], np.int64)
-        done = [b""] * len(ids)
-        if not n.sum():
-            return done
-        self.db.register("coded", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), n), "pos": np.arange(n.sum(), dtype=np.int64), "id": np.concatenate(ids).astype(np.int32)}))
+        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int64)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.lengths) or not self.lengths[flat].all()):
+            raise ValueError("an id is not in the vocabulary")
+        raw = b"".join(self._decode_flat(flat[i : i + CHUNK]) for i in range(0, len(flat), CHUNK))
+        cuts = np.concatenate([[0], np.cumsum(self.lengths[flat])])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _decode_flat(self, flat: np.ndarray) -> bytes:
+        if not len(flat):
+            return b""
+        pos = np.arange(len(flat), dtype=np.int32)
+        self.db.register("coded", pa.table({"block": pos // 4_096, "pos": pos, "id": flat.astype(np.int32)}))
         out = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("coded")
-        for chunk in range(out["parts"].num_chunks):
-            lists, docs = out["parts"].chunk(chunk), out["doc"].chunk(chunk).to_numpy()
+        raw = []
+        for lists in out["parts"].chunks:
             at, values = lists.offsets.to_numpy(), lists.values
-            if len(docs) and (np.diff(at) != n[docs]).any():
-                raise ValueError("an id is not in the vocabulary")
             _, where, data = values.buffers()
             wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
-            ends, view = np.frombuffer(where, wide)[values.offset :], memoryview(data)
-            for d, a, b in zip(docs, at, at[1:]):
-                done[d] = bytes(view[ends[a] : ends[b]])
-        return done
+            ends = np.frombuffer(where, wide)[values.offset :]
+            raw.append(memoryview(data)[ends[at[0]] : ends[at[-1]]])
+        return b"".join(raw)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -230,8 +293,8 @@ def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Da
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                ids = codec.encode(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
+                ids, decoded = codec.round_trip(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
