@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -18,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode (tests) and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,3 +56,23 @@ def fold(doc_id: Column) -> Column:
 
 
 HELD_OUT = 2
+
+
+def map_rows(df: DataFrame, run: Callable[[dict[str, list]], dict], given: list[str], added: str) -> DataFrame:
+    """df without the columns in `given`, with those in `added`, which run() makes from the given ones of a batch as Python lists.
+
+    All other columns, ids among them, pass as they are, in Arrow: no long becomes a double because a null stands beside it.
+    """
+    new = _parse_datatype_string(added)
+    kept = [f for f in df.schema.fields if f.name not in given]
+    schema = StructType(kept + new.fields)
+    types = [f.type for f in to_arrow_schema(new)]
+    names = [f.name for f in kept]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = run({c: batch.column(c).to_pylist() for c in given})
+            made = [pa.array(out[f.name], t) for f, t in zip(new.fields, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, [f.name for f in schema.fields])
+
+    return df.mapInArrow(apply, schema)

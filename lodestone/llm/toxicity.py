@@ -1,34 +1,46 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are statistics and hashed embeddings of the word and of its character n-grams; two gated recurrent passes
-read a window of words, attention pools their states, and a document's score is that of its worst window. Windows overlap
-by half and cover the whole text. Training takes a bounded sample of labelled documents on the driver; since labels
-are of documents, each round trains on the windows that now score highest. Scoring is one pass without a shuffle; the
-model that is broadcast has a fixed size.
+Inputs of a word are a hashed embedding of the word and the largest values over hashed embeddings of its character n-grams. Two gated
+recurrent passes read a window of words, attention pools their states, and a document's score is that of its worst window. Windows
+overlap by half and cover the whole text. Embeddings start from log-odds of the label, counted by executors, and are trained by gradient with
+the network. Since labels are of documents, each round trains on the windows that score highest now: executors choose them,
+and only those (a few windows of a bounded sample of documents) reach the driver. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, fold, table
+from .common import HELD_OUT, fold, map_rows, materialize, table
 
 #: The model is fitted on about so many labelled documents, chosen by a hash of doc_id.
 TRAIN_DOCS = 6_000
-ROUNDS = 5
+#: Windows a document gives to each round, by label; one more, by a hash, comes with label 0.
+WINDOWS_EACH = {0: 2, 1: 1}
+#: Passes over the windows of each round, and step sizes of the network and of the embeddings.
+ROUNDS = ((4, 0.02, 0.05), (3, 0.01, 0.03), (3, 0.005, 0.02))
 BUCKETS = 1 << 18
-PRIOR_DOCS = 8
-HIDDEN, ATTENTION, INPUTS = 6, 6, 8
+#: Steps of a round at least, for small samples.
+STEPS = 150
+PRIOR_DOCS = 4
+HIDDEN, ATTENTION, DIMS = 6, 6, 4
+INPUTS = 2 * DIMS
 WINDOW, STRIDE = 48, 24
 BATCH = 1_024
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 GRAMS = (3, 4, 5)
+#: Lengths of word beginnings, which are told apart by whether the word goes on.
+HEADS = (3, 4, 5, 6, 7, 8)
+#: Words of a training window over so many characters count as empty there (scoring reads all of every word).
+TRAIN_WORD = 100
 
 
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
@@ -41,7 +53,7 @@ def _hash(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, buckets of all its character n-grams, and where each word's n-grams start. Case and outer punctuation don't count."""
+    """Bucket of each word, buckets of all its character n-grams and beginnings, and where each word's start. Case and outer punctuation don't count."""
     bare = ["^" + w.lower().strip(".,;:!?\"'()[]{}|<>*_-") + "$$$" for w in words]
     lens = np.array([len(b) for b in bare], np.int64)
     codes = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -61,8 +73,20 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     left = lens - 3  # n-grams may reach into the padding but not past it
     inside = pos < np.repeat(left, lens)
     grams = np.stack(per, axis=1)[inside].ravel()
-    counts = left * len(GRAMS)
-    return (word >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), grams, np.cumsum(counts) - counts
+    owner = np.repeat(np.repeat(np.arange(len(bare)), left), len(GRAMS))
+    sums, heads, whose = np.cumsum(np.concatenate([[0], h]), dtype=np.uint64), [], []
+    for n in HEADS:
+        has = np.flatnonzero(left > n)
+        goes_on = (left[has] > n + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            x = (sums[starts[has] + n + 1] - sums[starts[has]] + goes_on + np.uint64(2 * n)) * np.uint64(0xFF51AFD7ED558CCD)
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
+        heads.append((x >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1))
+        whose.append(has)
+    owner = np.concatenate([owner, *whose])
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=len(bare))
+    return (word >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate([grams, *heads])[order], np.cumsum(counts) - counts
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -122,8 +146,8 @@ class Network:
             keep |= {"mask": mask, "kf": kf, "kb": kb, "h": h, "a": a, "alpha": alpha, "pooled": pooled, "y": y}
         return y
 
-    def step(self, x: np.ndarray, ids: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One Adam step on windows `ids` of the words with inputs x; cross-entropy with weights."""
+    def gradients(self, x: np.ndarray, ids: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients, of the weighted cross-entropy on windows `ids` of the words with inputs x, by weights and by x."""
         pf, pb = self.project(x)
         k: dict = {}
         y, g = self.forward(pf, pb, ids, k), {}
@@ -137,6 +161,7 @@ class Network:
         g["v"] = (k["a"] * de[:, :, None]).sum(axis=(0, 1))
         g["A"] = np.einsum("tbh,tba->ha", k["h"], dt)
         dh = dh + dt @ self.p["A"].T
+        dx_all = np.zeros((ids.shape[1], ids.shape[0], x.shape[1]), np.float32)
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
             U, back = self.p[f"U{d}"], np.zeros((ids.shape[0], HIDDEN), np.float32)
             gU, gW, gB = np.zeros_like(U), np.zeros_like(self.p[f"W{d}"]), np.zeros(3 * HIDDEN, np.float32)
@@ -150,8 +175,14 @@ class Network:
                 gU += h.T @ dg
                 gW += x[ids[:, t]].T @ dx
                 gB += dx.sum(axis=0)
+                dx_all[t] += dx @ self.p[f"W{d}"].T
                 back = s * z + dg @ U.T
             g |= {f"U{d}": gU, f"W{d}": gW, f"B{d}": gB}
+        at = ids.T.ravel()
+        return g, np.stack([np.bincount(at, dx_all[:, :, i].ravel(), len(x)) for i in range(x.shape[1])], axis=1).astype(np.float32)
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """One Adam step."""
         self.t += 1
         for name, p in self.p.items():
             q = np.clip(g[name], -1, 1)
@@ -160,6 +191,11 @@ class Network:
             p -= rate * (self.m[name] / (1 - 0.9**self.t)) / (np.sqrt(self.s[name] / (1 - 0.99**self.t)) + 1e-6)
 
 
+def pooled(gram: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Largest values over each word's n-grams."""
+    return np.maximum.reduceat(gram[grams], starts)
+
+
 class Model:
     """Embeddings and network; scores texts."""
 
@@ -168,7 +204,7 @@ class Model:
         self._forget()
 
     def __getstate__(self):
-        return {"word": self.word, "gram": self.gram, "net": {k: v for k, v in self.net.p.items()}}
+        return {"word": self.word, "gram": self.gram, "net": dict(self.net.p)}
 
     def __setstate__(self, s):
         net = Network()
@@ -178,22 +214,17 @@ class Model:
     def _forget(self) -> None:
         self.ids: dict[str, int] = {}
         self.n = 1
-        self.inputs = np.zeros((1 << 12, INPUTS), np.float32)
-        self.pf, self.pb = self.net.project(self.inputs)
+        self.pf, self.pb = self.net.project(np.zeros((1 << 12, INPUTS), np.float32))
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             w, grams, at = word_features(part)
-            g = self.gram[grams]
-            x = np.concatenate([self.word[w], np.maximum.reduceat(g[:, :2], at), np.add.reduceat(g[:, 2:], at) / np.diff(np.append(at, len(grams)))[:, None]], axis=1)
-            while self.n + len(part) > len(self.inputs):
-                self.inputs, self.pf, self.pb = (np.concatenate([a, np.zeros_like(a)]) for a in (self.inputs, self.pf, self.pb))
+            while self.n + len(part) > len(self.pf):
+                self.pf, self.pb = (np.concatenate([a, np.zeros_like(a)]) for a in (self.pf, self.pb))
             new = slice(self.n, self.n + len(part))
-            self.inputs[new] = x
-            self.pf[new], self.pb[new] = self.net.project(x)
-            for j, word in enumerate(part):
-                self.ids[word] = self.n + j
+            self.pf[new], self.pb[new] = self.net.project(np.concatenate([self.word[w], pooled(self.gram, grams, at)], axis=1))
+            self.ids.update(zip(part, range(self.n, self.n + len(part))))
             self.n += len(part)
 
     def look_up(self, words: list[str]) -> np.ndarray:
@@ -204,120 +235,234 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The worst window's score of each text; texts without words: one empty window."""
-        out = np.zeros(len(texts))
+        return np.array([y.max() for y in self.window_scores(texts)], float)
+
+    def window_scores(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Scores of all windows of each text."""
         held: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
         n = 0
 
-        def flush() -> None:
-            nonlocal held, owner, n
-            if held:
-                ids, own = np.concatenate(held), np.concatenate(owner)
-                y = np.concatenate([self.net.forward(self.pf, self.pb, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
-                np.maximum.at(out, own, y)
-                held, owner, n = [], [], 0
-
-        for i, t in enumerate(texts):
+        def flush() -> list[np.ndarray]:
+            nonlocal held, n
+            if not held:
+                return []
+            ids = np.concatenate(held)
+            y = np.concatenate([self.net.forward(self.pf, self.pb, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+            done = np.split(y, np.cumsum([len(w) for w in held])[:-1])
+            held, n = [], 0
+            return done
+
+        for t in texts:
             if len(self.ids) > CACHE_WORDS:
-                flush()
+                yield from flush()
                 self._forget()
             w = windows(self.look_up((t or "").split()))
             held.append(w)
-            owner.append(np.full(len(w), i))
             n += len(w)
             if n >= 8 * BATCH:
-                flush()
-        flush()
-        return out
+                yield from flush()
+        yield from flush()
 
 
-def _statistic(of: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Log-odds of label 1 where the bucket is present against the base rate, shrunken by PRIOR_DOCS documents of the base rate. Buckets of a document are distinct."""
-    pos, neg = (np.zeros(BUCKETS) for _ in range(2))
-    for x, y in zip(of, labels):
-        (pos if y else neg)[x] += 1
-    base = labels.mean()
+def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log-odds of label 1 where a bucket is present against the base rate, shrunken by PRIOR_DOCS documents of the base rate."""
+    base = (n_pos + 0.5) / (n_pos + n_neg + 1)
     rate = (pos + PRIOR_DOCS * base) / (pos + neg + PRIOR_DOCS)
-    return np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -4, 5)
-
-
-def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Model | float:
-    """A model, or the constant score if the labels are all alike (0.0 without any)."""
-    if not len(labels) or labels.min() == labels.max():
-        return float(labels.mean()) if len(labels) else 0.0
-    r = np.random.default_rng(seed)
-    features = []
-    for t in texts:
-        words = sorted(set(t.split()))
-        features.append([np.unique(x).astype(np.int32) for x in word_features(words)[:2]] if words else [np.zeros(0, np.int32)] * 2)
-    noise = 0.3 * r.standard_normal((BUCKETS, 3)), 0.3 * r.standard_normal((BUCKETS, 2))
-
-    def tables(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings whose statistics are those of some of the documents."""
-        word = _statistic([features[i][0] for i in of], labels[of])
-        gram = _statistic([features[i][1] for i in of], labels[of])
-        return np.concatenate([word[:, None], noise[0]], axis=1).astype(np.float32), np.concatenate([gram[:, None], -gram[:, None], noise[1]], axis=1).astype(np.float32)
-
-    net = Network(seed)
-    half, per, inputs = np.arange(len(texts)) % 2, [None] * len(texts), []
-    for k in (0, 1):  # the network sees statistics as it will on new texts: those of other documents
-        of = np.flatnonzero(half != k)
-        m = Model(*tables(of if 0 < labels[of].sum() < len(of) else np.arange(len(texts))), net)
-        base = sum(map(len, inputs))
-        for i in np.flatnonzero(half == k):
-            w = windows(m.look_up(texts[i].split()))
-            per[i] = np.where(w > 0, w + base, 0).astype(np.int32)
-        inputs.append(m.inputs[: m.n])
-    x = np.concatenate(inputs)
-    own, ids = np.repeat(np.arange(len(per)), [len(w) for w in per]), np.concatenate(per)
-    del per, inputs
-    first = np.maximum(x[:, 0], x[:, 4])
-    score = np.concatenate([first[ids[i : i + BATCH]].max(axis=1) for i in range(0, len(ids), BATCH)])  # before the first round: the largest statistic
-    for k in range(rounds):
-        order = np.lexsort((-score, own))
-        rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
-        pick = order[(rank < np.where(labels[own[order]] == 1, 1, 2)) | ((labels[own[order]] == 0) & (r.random(len(order)) < 0.02))]
-        weight = np.where(labels[own] == 1, 0.5 * (labels == 0).sum() / max(1, labels.sum()), 1.0)
-        for _ in range(2):
-            r.shuffle(pick)
-            for i in range(0, len(pick), 256):
-                b = pick[i : i + 256]
-                net.step(x, ids[b], labels[own[b]].astype(np.float32), weight[b].astype(np.float32), 0.02 if k < rounds - 2 else 0.005)
-        if k < rounds - 1:
-            pf, pb = net.project(x)
-            score = np.concatenate([net.forward(pf, pb, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
-    return Model(*tables(np.arange(len(texts))), net)
+    return np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -4, 5).astype(np.float32)
+
+
+class Trainer:
+    """Embeddings and network as they are trained: what the counts give, by half of the documents, and what gradients have added."""
+
+    def __init__(self, start: dict[tuple[str, int], np.ndarray], seed: int = 7):
+        r = np.random.default_rng(seed)
+        self.start, self.net, self.random = start, Network(seed), r
+        self.added = {k: (0.1 * r.standard_normal((BUCKETS, DIMS))).astype(np.float32) for k in ("word", "gram")}
+        for k in self.added:
+            self.added[k][:, 0] = 0
+        self.seen = {k: np.full((BUCKETS, DIMS), 1e-4, np.float32) for k in ("word", "gram")}
+
+    def table(self, kind: str, half: int) -> np.ndarray:
+        """Embeddings with the counts of one half's documents (2: of all)."""
+        out = self.added[kind].copy()
+        out[:, 0] += self.start[kind, half]
+        return out
+
+    def model(self, half: int = 2) -> Model:
+        return Model(self.table("word", half), self.table("gram", half), self.net)
+
+    def fit(self, found: pd.DataFrame, passes: int, rate: float, embedding_rate: float, batch: int = 256) -> None:
+        """Gradient steps on the windows (half, label, window) given; a half's windows see the counts of the other half, as new texts will."""
+        words: dict[tuple[int, str], int] = {}
+        ids = np.zeros((len(found), WINDOW), np.int64)
+        for i, (half, text) in enumerate(zip(found["half"], found["window"])):
+            own = [words.setdefault((half, w), len(words) + 1) for w in text.split(" ")[:WINDOW]] if text else []
+            ids[i, : len(own)] = own
+        if not words:
+            return
+        half = np.array([0] + [1 - h for h, _ in words])
+        bucket, grams, starts = word_features([""] + [w for _, w in words])
+        ends = np.append(starts[1:], len(grams))
+        label = found["label"].to_numpy(np.float32)
+        weight = np.where(label == 1, 0.5 * (label == 0).sum() / max(1, label.sum()), 1.0).astype(np.float32)
+        for _ in range(max(passes, -(-STEPS // -(-len(found) // batch)))):
+            order = self.random.permutation(len(found))
+            for i in range(0, len(order), batch):
+                pick = order[i : i + batch]
+                own, small = np.unique(np.append(ids[pick].ravel(), 0), return_inverse=True)
+                small = small[:-1].reshape(len(pick), WINDOW)
+                n = ends[own] - starts[own]
+                first = np.cumsum(n) - n
+                g = grams[np.repeat(starts[own] - first, n) + np.arange(n.sum())]
+                e = self.added["gram"][g]
+                e[:, 0] += np.stack([self.start["gram", 0], self.start["gram", 1]])[np.repeat(half[own], n), g]
+                top = np.maximum.reduceat(e, first)
+                x = np.concatenate([self.added["word"][bucket[own]], top], axis=1)
+                x[:, 0] += np.stack([self.start["word", 0], self.start["word", 1]])[half[own], bucket[own]]
+                x[0] = 0
+                grad, gx = self.net.gradients(x, small, label[pick], weight[pick])
+                self.net.step(grad, rate)
+                gx[0] = 0
+                for d in range(DIMS):
+                    self._descend("word", bucket[own], d, gx[:, d], embedding_rate)
+                    best = np.flatnonzero(e[:, d] == np.repeat(top[:, d], n))  # where the largest values stand
+                    owner = np.searchsorted(first, best, side="right") - 1
+                    self._descend("gram", g[best], d, gx[owner, DIMS + d], embedding_rate)
+
+    def _descend(self, kind: str, at: np.ndarray, d: int, grad: np.ndarray, rate: float) -> None:
+        rows, where = np.unique(at, return_inverse=True)
+        total = np.bincount(where, grad, len(rows)).astype(np.float32)
+        self.seen[kind][rows, d] += total * total
+        self.added[kind][rows, d] -= rate * total / np.sqrt(self.seen[kind][rows, d])
+
+
+def _half(doc_id) -> int:
+    return zlib.crc32(f"half {doc_id}".encode()) & 1
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each label that hold each bucket, by half; the row of kind 'docs' counts documents."""
+    sums = {(k, h, y): np.zeros(BUCKETS, np.int32) for k in ("word", "gram") for h in (0, 1) for y in (0, 1)}
+    docs = np.zeros((2, 2), np.int64)
+    for batch in batches:
+        for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+            h = _half(doc_id)
+            docs[h, label] += 1
+            words = sorted(set(text.split()))
+            if words:
+                for k, x in zip(("word", "gram"), word_features(words)):
+                    sums[k, h, label][np.unique(x)] += 1
+    for h in (0, 1):
+        yield pa.RecordBatch.from_pydict({"kind": ["docs"], "half": [h], "bucket": [0], "pos": [int(docs[h, 1])], "neg": [int(docs[h, 0])]}, COUNTED)
+        for k in ("word", "gram"):
+            at = np.flatnonzero(sums[k, h, 0] + sums[k, h, 1])
+            yield pa.RecordBatch.from_pydict({"kind": [k] * len(at), "half": np.full(len(at), h), "bucket": at, "pos": sums[k, h, 1][at], "neg": sums[k, h, 0][at]}, COUNTED)
+
+
+COUNTED = pa.schema([("kind", pa.string()), ("half", pa.int32()), ("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
+CHOSEN = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("half", pa.int32()), ("label", pa.int32()), ("window", pa.string())])
+
+
+def _choose(rows: DataFrame, models: list[Model]) -> pd.DataFrame:
+    """The windows of each training document that score highest under the other half's model, and one by a hash; in a fixed order."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                h, words = _half(doc_id), [w if len(w) <= TRAIN_WORD else "" for w in text.split()]
+                (y,) = shared.value[1 - h].window_scores([text])
+                pick = set(np.lexsort((np.arange(len(y)), -y))[: WINDOWS_EACH[label]].tolist())
+                if not label:
+                    pick.add(zlib.crc32(f"any {doc_id}".encode()) % len(y))
+                out += [(doc_id, i, h, label, " ".join(words[i * STRIDE : i * STRIDE + WINDOW])) for i in sorted(pick)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [[]] * 5, CHOSEN)], schema=CHOSEN)
+
+    found = rows.mapInArrow(run, "doc_id long, place int, half int, label int, window string").toPandas()  # at most three short windows of each of TRAIN_DOCS documents
+    return found.sort_values(["doc_id", "place"], ignore_index=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | float:
-    """Fit on labelled documents of the folds other than 2, about `train_docs` of them; a document with several labels counts as toxic if one is."""
-    own = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic_label"))
+    """Fit on labelled documents of the folds other than 2, about `train_docs` of them.
+
+    A document with several labels counts as toxic if one is; of several rows with one doc_id the least text is taken. The
+    score is constant if labels are all alike (0.0 without any).
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
+    own = materialize(own, "toxicity-labels")
     n = own.count()
     if n > train_docs:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id").orderBy("doc_id").select("text", "toxic_label").toLocalIterator()
-    texts, y = [], []
-    for row in rows:
-        texts.append(row["text"])
-        y.append(int(row["toxic_label"] > 0))
-    return fit(texts, np.array(y, np.int64))
+        own = materialize(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n)), "toxicity-labels")  # small: Spark sends it to the documents
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = materialize(rows, "toxicity-train")
+    counts = rows.mapInArrow(_count_features, "kind string, half int, bucket int, pos long, neg long").groupBy("kind", "half", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most 4 BUCKETS + 2 rows
+    n_pos, n_neg = ({h: int(counts[(counts["kind"] == "docs") & (counts["half"] == h)][c].sum()) for h in (0, 1)} for c in ("pos", "neg"))
+    if not sum(n_pos.values()) or not sum(n_neg.values()):
+        return float(sum(n_pos.values()) > 0)
+    start = {}
+    for kind in ("word", "gram"):
+        pos, neg = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
+        for h in (0, 1):
+            k = counts[(counts["kind"] == kind) & (counts["half"] == h)]
+            pos[h, k["bucket"]], neg[h, k["bucket"]] = k["pos"], k["neg"]
+        pos[2], neg[2] = pos[0] + pos[1], neg[0] + neg[1]
+        for h in (0, 1, 2):
+            start[kind, h] = log_odds(pos[h], neg[h], *((n_pos[h], n_neg[h]) if h < 2 else (sum(n_pos.values()), sum(n_neg.values()))))
+    del counts
+    trainer = Trainer(start)
+    found = _choose(rows, [_Largest(start["word", h], start["gram", h]) for h in (0, 1)])
+    for k, (passes, rate, embedding_rate) in enumerate(ROUNDS):
+        if k:
+            more = _choose(rows, [trainer.model(h) for h in (0, 1)])
+            found = pd.concat([found, more]).drop_duplicates(["doc_id", "place"]).sort_values(["doc_id", "place"], ignore_index=True)
+        trainer.fit(found, passes, rate, embedding_rate)
+    return trainer.model()
+
+
+class _Largest:
+    """Scores of windows before the first round: the largest statistic in them."""
+
+    def __init__(self, word: np.ndarray, gram: np.ndarray):
+        self.word, self.gram = word, gram
+
+    def window_scores(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for t in texts:
+            words = t.split()
+            if not words:
+                yield np.zeros(1)
+                continue
+            known = {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+            bucket, grams, starts = word_features(list(known))
+            value = np.append([-9.0], np.maximum(self.word[bucket], np.maximum.reduceat(self.gram[grams], starts)))
+            yield value[windows(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))].max(axis=1)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
     Null, empty or blank text is scored as one window without words. Without labels every score is 0.0. Null doc_id counts
-    as the text 'null' for the fold. Repeated rows give repeated results; no rows: no rows. Other columns are ignored.
+    as the text 'null' for the fold and is never learned from. Repeated rows give repeated results; no rows: no rows. Other
+    columns are ignored.
     """
+    return _scored(docs, labels, threshold, train_docs, [])
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The same with the row that was scored beside it, as struct given_row: judges rows, whatever their ids."""
+    return _scored(docs, labels, threshold, train_docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given_row")])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, train_docs: int, more: list) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            m, texts = model.value, [t if isinstance(t, str) else None for t in pdf["text"]]
-            score = m.score(texts).astype(float) if isinstance(m, Model) else np.full(len(pdf), m)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+    def score(columns: dict[str, list]) -> dict:
+        m, texts = model.value, columns["text"]
+        y = m.score(texts) if isinstance(m, Model) else np.full(len(texts), m)
+        return {"score": y, "predicted": (y >= threshold).astype(np.int32)}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), *more, F.col("text"))
+    return map_rows(rows, score, ["text"], "score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

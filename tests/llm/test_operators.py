@@ -182,6 +182,61 @@ def test_toxicity_edges(messy, labels):
     assert toxicity.score_toxicity(messy.limit(0), labels).count() == 0
 
 
+def test_network_by_hand():
+    """The forward pass, word by word, and its gradients by small differences."""
+    r = np.random.default_rng(5)
+    net = toxicity.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = r.standard_normal((7, toxicity.INPUTS))
+    x[0] = 0
+    ids = np.zeros((3, toxicity.WINDOW), np.int64)
+    for i, n in enumerate((1, 5, 9)):
+        ids[i, :n] = r.integers(1, 7, n)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def by_hand(words):
+        states = []
+        for d in "fb":
+            h, out = np.zeros(toxicity.HIDDEN), {}
+            for t in range(len(words)) if d == "f" else reversed(range(len(words))):
+                a, g, k = x[words[t]] @ net.p["W" + d] + net.p["B" + d], h @ net.p["U" + d], toxicity.HIDDEN
+                z, q = sig(a[:k] + g[:k]), sig(a[k : 2 * k] + g[k : 2 * k])
+                n = np.tanh(a[2 * k :] + q * g[2 * k :])
+                h = out[t] = (1 - z) * n + z * h
+            states.append([out[t] for t in range(len(words))])
+        h = np.concatenate(states, axis=1)
+        e = np.exp(np.tanh(h @ net.p["A"]) @ net.p["v"])
+        return sig((e / e.sum()) @ h @ net.p["u"] + net.p["c"][0])
+
+    got = net.forward(*net.project(x), ids)
+    assert np.allclose(got, [by_hand(row[row > 0]) for row in ids], atol=1e-5)
+    label, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        y = net.forward(*net.project(x), ids)
+        return float((weight * -(label * np.log(y) + (1 - label) * np.log(1 - y))).sum() / weight.sum())
+
+    g, gx = net.gradients(x, ids, label, weight)
+    for a, own in [(net.p[k], g[k]) for k in net.p] + [(x, gx)]:
+        for at in [tuple(r.integers(0, n) for n in a.shape) for _ in range(4)]:
+            if a is x and at[0] == 0:
+                continue
+            keep, step = a[at], 1e-3
+            a[at] = keep + step
+            up = loss()
+            a[at] = keep - step
+            down = loss()
+            a[at] = keep
+            assert abs((up - down) / (2 * step) - own[at]) < 2e-3
+
+
+def test_toxicity_trains_alike(spark):
+    docs, marks = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    twice = docs.union(docs).repartition(3)  # rows repeated with one id, in another order
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, marks).collect()} for d in (docs, twice))
+    assert a == b
+
+
 # 5: shingle sets
 
 
@@ -349,6 +404,22 @@ def test_codec(tokenizer, text):
         assert codec._by_heap(raw) == tokenizer._encode_single_piece(raw)
 
 
+def test_codec_of_long_pieces_and_small_caches(tokenizer, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    monkeypatch.setattr(bpe, "CHUNK", 500)
+    monkeypatch.setattr(bpe, "BATCH_WORK", 20_000)
+    texts = ["".join(r.choice("abcdeé") for _ in range(n)) for n in (1, 127, 128, 129, 1_999, 2_001, 100_000)] + [" ".join(f"w{r.randrange(30)}x the" for _ in range(40)) for _ in range(30)] + [None, "", "ACGT" * 5_000]
+    codec = bpe.Codec()
+    for _ in range(2):
+        ids, decoded = codec.round_trip(texts)
+        assert [x.tolist() for x in ids] == [tokenizer.encode_ordinary(t or "") for t in texts]
+        assert decoded == [(t or "").encode() for t in texts] == codec.decode(ids)
+        assert [x.tolist() for x in codec.encode(texts)] == [x.tolist() for x in ids]
+    with pytest.raises(ValueError):
+        codec.decode([np.array([10**6])])
+
+
 # 9: languages
 
 
