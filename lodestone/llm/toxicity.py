@@ -271,6 +271,15 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nda
     return np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -4, 5).astype(np.float32)
 
 
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_features() of many words, some at a time, in 32 bits, and where each word's end."""
+    parts = [word_features(words[i : i + 5_000]) for i in range(0, len(words), 5_000)]
+    bucket, grams = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (0, 1))
+    counts = np.concatenate([np.diff(np.append(p[2], len(p[1]))) for p in parts])
+    ends = np.cumsum(counts)
+    return bucket, grams, ends - counts, ends
+
+
 class Trainer:
     """Embeddings and network as they are trained: what the counts give, by half of the documents, and what gradients have added."""
 
@@ -301,8 +310,7 @@ class Trainer:
         if not words:
             return
         half = np.array([0] + [1 - h for h, _ in words])
-        bucket, grams, starts = word_features([""] + [w for _, w in words])
-        ends = np.append(starts[1:], len(grams))
+        bucket, grams, starts, ends = _features([""] + [w for _, w in words])
         label = found["label"].to_numpy(np.float32)
         weight = np.where(label == 1, 0.5 * (label == 0).sum() / max(1, label.sum()), 1.0).astype(np.float32)
         for _ in range(max(passes, -(-STEPS // -(-len(found) // batch)))):
@@ -341,7 +349,7 @@ def _half(doc_id) -> int:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold each bucket, by half; the row of kind 'docs' counts documents."""
+    """Documents of each label that hold each bucket, by half; kind 0 counts words, 1 their parts, and 2 documents."""
     sums = {(k, h, y): np.zeros(BUCKETS, np.int32) for k in ("word", "gram") for h in (0, 1) for y in (0, 1)}
     docs = np.zeros((2, 2), np.int64)
     for batch in batches:
@@ -352,14 +360,13 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if words:
                 for k, x in zip(("word", "gram"), word_features(words)):
                     sums[k, h, label][np.unique(x)] += 1
-    for h in (0, 1):
-        yield pa.RecordBatch.from_pydict({"kind": ["docs"], "half": [h], "bucket": [0], "pos": [int(docs[h, 1])], "neg": [int(docs[h, 0])]}, COUNTED)
-        for k in ("word", "gram"):
-            at = np.flatnonzero(sums[k, h, 0] + sums[k, h, 1])
-            yield pa.RecordBatch.from_pydict({"kind": [k] * len(at), "half": np.full(len(at), h), "bucket": at, "pos": sums[k, h, 1][at], "neg": sums[k, h, 0][at]}, COUNTED)
+    for n, k in enumerate(("word", "gram")):
+        at = np.flatnonzero(sum(sums[k, h, y] for h in (0, 1) for y in (0, 1)))
+        yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), n, np.int8), "bucket": at.astype(np.int32)} | {f"n{h}{y}": sums[k, h, y][at] for h in (0, 1) for y in (0, 1)}, COUNTED)
+    yield pa.RecordBatch.from_pydict({"kind": [2], "bucket": [0]} | {f"n{h}{y}": [int(docs[h, y])] for h in (0, 1) for y in (0, 1)}, COUNTED)
 
 
-COUNTED = pa.schema([("kind", pa.string()), ("half", pa.int32()), ("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
+COUNTED = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), *((f"n{h}{y}", pa.int32()) for h in (0, 1) for y in (0, 1))])
 CHOSEN = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("half", pa.int32()), ("label", pa.int32()), ("window", pa.string())])
 
 
@@ -379,7 +386,7 @@ def _choose(rows: DataFrame, models: list[Model]) -> pd.DataFrame:
                 out += [(doc_id, i, h, label, " ".join(words[i * STRIDE : i * STRIDE + WINDOW])) for i in sorted(pick)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [[]] * 5, CHOSEN)], schema=CHOSEN)
 
-    found = rows.mapInArrow(run, "doc_id long, place int, half int, label int, window string").toPandas()  # at most three short windows of each of TRAIN_DOCS documents
+    found = rows.mapInArrow(run, "doc_id long, place int, half int, label int, window string").toArrow().to_pandas()  # at most three short windows of each of TRAIN_DOCS documents
     return found.sort_values(["doc_id", "place"], ignore_index=True)
 
 
@@ -396,20 +403,26 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         own = materialize(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n)), "toxicity-labels")  # small: Spark sends it to the documents
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     rows = materialize(rows, "toxicity-train")
-    counts = rows.mapInArrow(_count_features, "kind string, half int, bucket int, pos long, neg long").groupBy("kind", "half", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most 4 BUCKETS + 2 rows
-    n_pos, n_neg = ({h: int(counts[(counts["kind"] == "docs") & (counts["half"] == h)][c].sum()) for h in (0, 1)} for c in ("pos", "neg"))
-    if not sum(n_pos.values()) or not sum(n_neg.values()):
-        return float(sum(n_pos.values()) > 0)
+    sums = [F.sum(c).cast("int").alias(c) for c in COUNTED.names[2:]]
+    counted = rows.mapInArrow(_count_features, "kind tinyint, bucket int, n00 int, n01 int, n10 int, n11 int").groupBy("kind", "bucket").agg(*sums)
+    several = (F.col("kind") == 2) | (F.expr("n00 + n01 + n10 + n11") > 1)  # what one document alone has says nothing
+    counts = counted.where(several).toArrow()  # at most 2 BUCKETS + 1 short rows
+    kind, bucket = (counts.column(c).to_numpy() for c in ("kind", "bucket"))
+    n = {c: counts.column(c).to_numpy() for c in COUNTED.names[2:]}
+    docs_of = {c: int(v[kind == 2].sum()) for c, v in n.items()}
+    if not docs_of["n01"] + docs_of["n11"] or not docs_of["n00"] + docs_of["n10"]:
+        return float(docs_of["n01"] + docs_of["n11"] > 0)
     start = {}
-    for kind in ("word", "gram"):
-        pos, neg = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
-        for h in (0, 1):
-            k = counts[(counts["kind"] == kind) & (counts["half"] == h)]
-            pos[h, k["bucket"]], neg[h, k["bucket"]] = k["pos"], k["neg"]
-        pos[2], neg[2] = pos[0] + pos[1], neg[0] + neg[1]
+    for i, name in enumerate(("word", "gram")):
         for h in (0, 1, 2):
-            start[kind, h] = log_odds(pos[h], neg[h], *((n_pos[h], n_neg[h]) if h < 2 else (sum(n_pos.values()), sum(n_neg.values()))))
-    del counts
+            both = []
+            for y in (1, 0):
+                halves = [f"n{h}{y}"] if h < 2 else [f"n0{y}", f"n1{y}"]
+                dense = np.zeros(BUCKETS)
+                dense[bucket[kind == i]] = sum(n[c][kind == i] for c in halves)
+                both.append((dense, sum(docs_of[c] for c in halves)))
+            start[name, h] = log_odds(both[0][0], both[1][0], both[0][1], both[1][1])
+    del counts, kind, bucket, n
     trainer = Trainer(start)
     found = _choose(rows, [_Largest(start["word", h], start["gram", h]) for h in (0, 1)])
     for k, (passes, rate, embedding_rate) in enumerate(ROUNDS):
