@@ -1,7 +1,8 @@
 """PII: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Each whole text is scanned once by patterns that take linear time on any text. Kinds `email`, `ip`, `card` and `phone` are the base; `iban`
-(mod-97) and `ssn` (kept only with a context word near) are added. No shuffle: one pass over the documents.
+(mod-97, the longest end that confirms) and `ssn` (issued ranges only, kept only with a context word near) are added. No shuffle:
+one pass over the documents.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -22,14 +23,18 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_LENGTH = 15
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Score of a confirmed span without context, and words that raise it when they stand within NEAR characters.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT = {
-    "email": re.compile(r"mail|contact|write|reach", re.I), "ip": re.compile(r"\bip\b|address|host|server|login", re.I),
-    "card": re.compile(r"card|visa|credit|debit|pay", re.I), "phone": re.compile(r"phone|call|tel|mobile|fax", re.I),
-    "iban": re.compile(r"iban|bank|account|konto", re.I), "ssn": re.compile(r"ssn|social|security|tax", re.I),
+    "email": re.compile(r"mail|contact|write|reach|kontakt|schreib|courriel|écri|correo|escrib", re.I),
+    "ip": re.compile(r"\bip\b|address|host|server|login|adress|rechner|serveur|servidor|direcci", re.I),
+    "card": re.compile(r"card|visa|credit|debit|pay|karte|kredit|zahl|carte|paie|tarjeta|pago", re.I),
+    "phone": re.compile(r"phone|call|tel|mobile|fax|anruf|handy|appel|llam|móvil", re.I),
+    "iban": re.compile(r"iban|bank|account|konto|compte|banque|cuenta|banco", re.I),
+    "ssn": re.compile(r"ssn|social|security|tax|sozialvers|steuer|sécurité|seguridad", re.I),
 }
 NEAR = 40
 RAISE = 0.1
@@ -52,6 +57,26 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def issued(ssn: str) -> bool:
+    """Whether the three parts are in ranges that are given out."""
+    area, group, serial = ssn.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed ones; of a run that goes on into the next words, the longest end at a word's edge that confirms."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 4
+        for end in range(m.end(), m.start() + IBAN_LENGTH - 1, -1):
+            if text[end - 1] != " " and (end == len(text) or not (text[end].isascii() and text[end].isalnum())):
+                compact = text[m.start() : end].replace(" ", "")
+                if len(compact) >= IBAN_LENGTH and mod97(compact):
+                    yield m.start(), end
+                    at = end
+                    break
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     end, at = 0, text.find("@")
     while at >= 0:
@@ -91,8 +116,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found += [("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
-    found += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
-    found += [("ssn", *m.span()) for m in SSN.finditer(text)]
+    found += [("iban", s, e) for s, e in _ibans(text)]
+    found += [("ssn", *m.span()) for m in SSN.finditer(text) if issued(m[0])]
     out = []
     for kind, start, end in found:
         near = CONTEXT[kind].search(text, max(0, start - NEAR), start) or CONTEXT[kind].search(text, end, end + NEAR)
@@ -112,21 +137,28 @@ def detect_pii(docs: DataFrame) -> DataFrame:
     Other columns are neither read nor returned.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "spans": [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find_spans(t)] for t in pdf["text"]]})
+    def run(columns: dict[str, list]) -> dict:
+        return {"spans": [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in find_spans(t)] for t in columns["text"]]}
+
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ["text"], SPANS)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and scores (as strings, in the same order) and mean_score of every row, in one stage."""
+
+    def run(columns: dict[str, list]) -> dict:
+        rows = [find_spans(t) for t in columns["text"]]
+        shown = [[(k, f"{k}:{s}:{e}") for k, s, e, _ in r] for r in rows]
+        return {f"n_{k}": [sum(x[0] == k for x in r) for r in rows] for k in BASE} | {
+            "base_sha256": [hashlib.sha256(",".join(x for k, x in r if k in BASE).encode()).hexdigest() for r in shown],
+            "spans": [",".join(x for _, x in r) for r in shown],
+            "scores": [",".join(f"{x[3]:g}" for x in r) for r in rows],
+            "mean_score": [sum(x[3] for x in r) / len(r) if r else None for r in rows],
+        }
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {SPANS}")
+    made = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, scores string, mean_score double"
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ["text"], made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [[(x["kind"], f"{x['kind']}:{x['start']}:{x['end']}", x["score"]) for x in spans] for spans in pdf["spans"]]
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"].astype("Int64")}
-                | {f"n_{k}": [sum(x[0] == k for x in r) for r in rows] for k in BASE}
-                | {"base_sha256": [hashlib.sha256(",".join(x[1] for x in r if x[0] in BASE).encode()).hexdigest() for r in rows], "spans": [",".join(x[1] for x in r) for r in rows], "mean_score": [sum(x[2] for x in r) / len(r) if r else None for r in rows]}
-            )
-
-    return detect_pii(table(spark, sf_dir, "documents")).mapInPandas(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, mean_score double")
+    return digests(table(spark, sf_dir, "documents"))
