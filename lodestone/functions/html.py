@@ -11,8 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .text import BORDER, BORDER_WIDTH, LONGEST_LINE, MOST_SPACES, UNWANTED_SECTIONS
 
@@ -245,18 +247,29 @@ def clean_article(html: str, resolve: Callable[[str, str], str | None] = lambda
     return text, tables, links
 
 
-def html_to_text(pages: DataFrame, keys: list[str], html: str = "html", process: Callable[[str], tuple[str, list[str], list[str]]] = clean_article) -> DataFrame:
-    """keys, body, tables, links and error of each page; a page that fails keeps its keys and gets an error instead of a body."""
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+def html_to_text(pages: DataFrame, keys: list[str], html: str = "html", process: Callable[..., tuple[str, list[str], list[str]]] = clean_article, ids: str | None = None) -> DataFrame:
+    """keys, body, tables, links and error of each page; a page that fails keeps its keys and gets an error instead of a body.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for x in pdf[html]:
+    `ids` names a column with a map from href to id, which resolves the page's links. Null HTML counts as empty. Keys pass in
+    Arrow as they are.
+    """
+    rows = pages.select(*keys, html, *([ids] if ids else []))
+    made = StructType.fromDDL("body string, tables array<string>, links array<string>, error string")
+    schema = StructType([rows.schema[k] for k in keys] + made.fields)
+    types = [f.type for f in to_arrow_schema(made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            known = b.column(ids).to_pylist() if ids else [None] * b.num_rows
+            for x, own in zip(b.column(html).to_pylist(), known):
                 try:
-                    rows.append((*process(x if isinstance(x, str) else ""), None))
+                    own = dict(own or [])
+                    done = process(x or "", lambda title, href: own.get(href)) if ids else process(x or "")
+                    out.append((*done, None))
                 except Exception as e:  # a dead letter, not a failed job
-                    rows.append((None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["body", "tables", "links", "error"])], axis=1)
+                    out.append((None, None, None, f"{type(e).__name__}: {e}"))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *columns], names=schema.names)
 
-    return pages.select(*keys, html).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", body string, tables array<string>, links array<string>, error string")
+    return rows.mapInArrow(run, schema)

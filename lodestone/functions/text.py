@@ -72,4 +72,4 @@ def envelope(qid: Column, body: Column) -> Column:
 
 
 def strip_control(text: Column) -> Column:
-    return F.regexp_replace(text, r"\p{Cntrl}", "")
+    return F.regexp_replace(text, r"[\x00-\x1F\x7F]", "")

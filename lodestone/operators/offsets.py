@@ -24,16 +24,33 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> Da
 def fixed(df: DataFrame) -> DataFrame:
     """Keep partition numbers as they are now: ranges come from samples and could differ when computed again."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def group_offsets(rows: DataFrame, key: str, last: int | None = None) -> DataFrame:
-    """key, start_index and n for every key from 1 to the last, empty ones too."""
-    per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def sort_alphabetical(df: DataFrame, column: str) -> DataFrame:
+    """Rows in byte order of a string, a total order over all partitions."""
+    return df.orderBy(column)
+
+
+def sort_numeric(df: DataFrame, column: str) -> DataFrame:
+    """Rows by the number at the start of a string; those without one count as 0, ties by the string."""
+    number = F.regexp_extract(column, r"^\s*([-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
+    return df.orderBy(F.coalesce(number, F.lit(0.0)), column)
+
+
+def group_offsets(rows: DataFrame, key: str, last: int | None = None, most: int = 65_535) -> DataFrame:
+    """key, start_index and n for every key from 1 to the last, empty ones too; a group of over `most` rows is an error."""
+    n = F.count(F.lit(1))
+    per = rows.groupBy(key).agg(F.when(n <= most, n).otherwise(F.raise_error(F.lit(f"over {most} rows in a group")).cast("long")).alias("n"))
     spark = rows.sparkSession
     last = last if last is not None else per.agg(F.max(key)).first()[0] or 0
     dense = spark.range(1, last + 1).withColumnRenamed("id", key).join(per, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
@@ -53,5 +70,5 @@ def sparse_level(rows: DataFrame, order: list[str], every: int) -> DataFrame:
 
 def byte_sample(df: DataFrame, size: str, order: list[str], budget: int, seed: int = 42) -> DataFrame:
     """Rows by a seeded hash of `order` until their sizes reach the budget; the same rows whenever it runs."""
-    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *order))
+    h = df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(seed), *order).cast("binary")))
     return running_sum(h, ["__h", *order], F.col(size), "__before").where(F.col("__before") < budget).drop("__h", "__before")

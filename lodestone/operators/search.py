@@ -57,16 +57,16 @@ def first_per_entity(hits: DataFrame, *order: Column) -> DataFrame:
     return hits.groupBy("qid").agg(F.min(packed).alias("__r")).select("qid", *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
-def first_payload(payloads: DataFrame, project_id: int) -> DataFrame:
-    """One payload for each entity of a project."""
-    return payloads.where(F.col("project_id") == project_id).groupBy("qid").agg(F.min(F.struct("data_offset", "data_length", "title")).alias("p")).select("qid", F.col("p.title").alias("title"), F.col("p.data_offset").alias("data_offset"), F.col("p.data_length").alias("data_length"))
-
-
 def resolve(hits: DataFrame, payloads: DataFrame, article_type: int) -> DataFrame:
-    """Inner join of hits with the payloads of an article type; hits without one are out."""
-    own = hits.join(first_payload(payloads, article_type), "qid")
-    keep = [c for c in own.columns if c.startswith("__")]
-    return own.select(F.col("qid").alias("id"), F.col("tags"), F.lit(article_type).cast("smallint").alias("article_type"), F.coalesce("title", F.lit("")).alias("title"), "term", "data_offset", "data_length", *keep)
+    """Inner join of hits (one a qid) with their first payload of an article type; hits without one are out.
+
+    Hits come first: few of them are broadcast to the scan of payloads, and only payloads of theirs are put in order.
+    """
+    cols = [c for c in hits.columns if c != "qid"]
+    own = payloads.where(F.col("project_id") == article_type).select("qid", F.struct("data_offset", "data_length", "title").alias("__p"))
+    both = hits.select("qid", F.struct(*cols).alias("__h")).join(own, "qid").groupBy("qid").agg(F.first("__h").alias("__h"), F.min("__p").alias("__p"))
+    kept = [F.col(f"__h.{c}").alias(c) for c in cols if c.startswith("__")]
+    return both.select(F.col("qid").alias("id"), "__h.tags", F.lit(article_type).cast("smallint").alias("article_type"), F.coalesce("__p.title", F.lit("")).alias("title"), "__h.term", "__p.data_offset", "__p.data_length", *kept)
 
 
 def text_search(terms: DataFrame, payloads: DataFrame, q: SearchQuery) -> DataFrame:
@@ -110,7 +110,6 @@ def page_ids(rows: DataFrame, key: str, q: SearchQuery) -> DataFrame:
     Where a match isn't required, a backward scan from beyond the last id starts at the last, and a forward scan from 0 at 1. An
     id of 0 or beyond the last otherwise gives nothing; a required match without a row for the article type gives nothing.
     """
-    last = rows.agg(F.max(key).alias("last"))  # one row
     own = rows.where(F.col("project_id") == q.article_type)
     start = q.target_id
     if not q.must_match and not q.backward and start == 0:
@@ -118,13 +117,10 @@ def page_ids(rows: DataFrame, key: str, q: SearchQuery) -> DataFrame:
     if start == 0:
         return own.where(F.lit(False))
     own = own.where(F.col(key) <= start) if q.backward else own.where(F.col(key) >= start)
-    if q.backward and not q.must_match:
-        pass  # snapping to the last id asks for the same rows
-    else:
-        own = own.join(F.broadcast(last), F.col("last") >= start).drop("last")
+    if not q.backward or q.must_match:  # snapping to the last id asks for the same rows
+        own = own.where(F.lit(start) <= rows.agg(F.max(key)).scalar())
     if q.must_match:
-        hit = own.where(F.col(key) == start).select(F.lit(1).alias("hit")).limit(1)
-        own = own.join(F.broadcast(hit)).drop("hit")
+        own = own.where(rows.where((F.col("project_id") == q.article_type) & (F.col(key) == start)).exists())
     return own.orderBy(F.col(key).desc() if q.backward else F.col(key).asc())
 
 

@@ -51,3 +51,13 @@ def tag_entities(entity_classes: DataFrame, closure: DataFrame) -> DataFrame:
 def usage(rows: DataFrame, key: str, n: int, name: str = "n") -> DataFrame:
     """The n most frequent keys, ties by key."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name)).orderBy(F.col(name).desc(), F.col(key)).limit(n)
+
+
+def distinct_by(rows: DataFrame, keys: list[str], counted: str, name: str = "n") -> DataFrame:
+    """keys and their number of distinct values of a column."""
+    return rows.groupBy(*keys).agg(F.countDistinct(counted).alias(name))
+
+
+def latest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, its greatest value and its number of rows."""
+    return rows.groupBy(key).agg(F.max(value).alias("latest"), F.count(F.lit(1)).alias("n"))

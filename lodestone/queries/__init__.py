@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import build, searches
+from . import build, ingest, searches
 
-QUERIES: dict = searches.QUERIES | build.QUERIES
-SQL: dict[str, str] = searches.SQL | build.SQL
+QUERIES: dict = searches.QUERIES | build.QUERIES | ingest.QUERIES
+SQL: dict[str, str] = searches.SQL | build.SQL | ingest.SQL

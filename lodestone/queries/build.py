@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import links, offsets, tags
+from ..sources import dump
 from .views import read
 
 QUERIES, SQL = {}, {}
@@ -27,12 +28,7 @@ c(child, tag) AS (SELECT x, x FROM (SELECT unnest([1, 2, 17, -1])::BIGINT AS x)
 _add("tag_bitmask", lambda s, d: tags.tag_mask(read(s, d, "lineitem").selectExpr("l_partkey + 1 AS qid", "l_linenumber AS pos"), "qid", "pos"), "SELECT l_partkey + 1 AS qid, bit_or(1::BIGINT << l_linenumber) AS tags FROM lineitem GROUP BY 1")
 _add("tag_usage_top10", lambda s, d: tags.usage(read(s, d, "events").selectExpr("concat(event_type, user_id % 7) AS tag"), "tag", 10), "SELECT concat(event_type, user_id % 7) AS tag, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, tag LIMIT 10")
 _add("property_usage_top25", lambda s, d: tags.usage(read(s, d, "lineitem").selectExpr("l_partkey % 97 AS pid"), "pid", 25), "SELECT l_partkey % 97 AS pid, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, pid LIMIT 25")
-_add("lang_breakdown", lambda s, d: read(s, d, "documents").groupBy("source", "lang").agg(F.countDistinct("doc_id").alias("n")), "SELECT source, lang, count(DISTINCT doc_id) AS n FROM documents GROUP BY ALL")
-_add(
-    "parse_sanity_checks",
-    lambda s, d: read(s, d, "orders").selectExpr("count(*) AS n_read", "count_if(o_orderstatus = 'F') AS n_used", "count_if(o_orderstatus <> 'F') AS n_skipped", "count_if(o_orderstatus = 'F' AND o_custkey % 4 > 0) AS n_article", "count_if(o_orderstatus = 'F' AND o_custkey % 4 = 0) AS n_no_article").selectExpr("*", "n_used + n_skipped = n_read AS reads_add_up", "n_article + n_no_article = n_used AS articles_add_up"),
-    "SELECT *, n_used + n_skipped = n_read AS reads_add_up, n_article + n_no_article = n_used AS articles_add_up FROM (SELECT count(*) AS n_read, count(*) FILTER (o_orderstatus = 'F') AS n_used, count(*) FILTER (o_orderstatus <> 'F') AS n_skipped, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 4 > 0) AS n_article, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 4 = 0) AS n_no_article FROM orders)",
-)
+_add("lang_breakdown", lambda s, d: tags.distinct_by(read(s, d, "documents"), ["source", "lang"], "doc_id"), "SELECT source, lang, count(DISTINCT doc_id) AS n FROM documents GROUP BY ALL")
 _add("group_offsets_dense", lambda s, d: offsets.group_offsets(read(s, d, "orders").selectExpr("o_custkey + 1 AS qid"), "qid"), "WITH n AS (SELECT o_custkey + 1 AS qid, count(*) AS n FROM orders GROUP BY 1), dense AS (SELECT r.qid, coalesce(n.n, 0) AS n FROM range(1, (SELECT max(qid) + 1 FROM n)) r(qid) LEFT JOIN n USING (qid)) SELECT qid, n, (sum(n) OVER (ORDER BY qid) - n)::BIGINT AS start_index FROM dense")
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _add("payload_offsets", lambda s, d: offsets.running_sum(read(s, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("data_length")), ["doc_id"], F.col("data_length"), "data_offset"), f"SELECT doc_id, coalesce(strlen(text), 0) AS data_length, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id {_BEFORE}), 0)::BIGINT AS data_offset FROM documents")
@@ -67,7 +63,7 @@ def _quantities(s, d):
 
 _add("quantity_parse", _quantities, r"""SELECT amount, shown, coalesce(try_cast(trim(regexp_extract(shown, '^[^(\[]*')) AS DOUBLE), 0.0) AS number FROM (SELECT amount, concat(amount, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN concat('(', lo, ',', hi, ')') ELSE '' END, CASE WHEN unit <> '1' THEN concat('[', string_split(unit, '/')[-1], ']') ELSE '' END) AS shown
 FROM (VALUES ('+5.5', '+5', '+6', 'http://x.example/entity/Q11573'), ('+3', NULL, NULL, '1'), ('-2e3', '-3', NULL, 'Q7'), ('abc', '1', '2', '1'), ('', NULL, NULL, NULL)) t(amount, lo, hi, unit))""")
-_add("completed_anti_join", lambda s, d: read(s, d, "customer").select("c_custkey", "c_name").join(read(s, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+_add("completed_anti_join", lambda s, d: dump.not_available(read(s, d, "customer").select("c_custkey", "c_name"), read(s, d, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey"), "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 
 
 def _sitelinks(s, d):
@@ -89,12 +85,6 @@ _add("link_resolve_q0", lambda s, d: _resolved(s, d).groupBy("page_id").agg(F.co
 _add("link_extract_classify", lambda s, d: links.extract_links(read(s, d, "pages"), ["page_id"]), f"WITH {_LINKS} SELECT page_id, link_no::INT AS link_no, href, CASE WHEN starts_with(href, '#') THEN 'fragment' WHEN regexp_matches(href, '^(https?://|//|www\\.)') THEN 'external' ELSE 'internal' END AS kind FROM l")
 
 
-def _strip(s, d):
-    bare = F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>", " ")
-    return read(s, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
-
-
-_add("html_strip", _strip, r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
 _add("article_envelope", lambda s, d: read(s, d, "documents").select("doc_id", T.envelope(F.concat(F.lit("Q"), "doc_id"), F.coalesce("text", F.lit(""))).alias("body")), "SELECT doc_id, concat('--- QID: Q', doc_id, ' ---', chr(10), chr(10), text, chr(10), chr(10)) AS body FROM documents")
 
 
@@ -108,5 +98,4 @@ _add("space_and_border_clean", lambda s, d: _lines(s, d).select("doc_id", "line_
 _add("union_payloads", lambda s, d: read(s, d, "documents").selectExpr("doc_id AS qid", "1 AS project_id", "n_chars AS data_length").unionByName(read(s, d, "orders").selectExpr("o_orderkey AS qid", "0 AS project_id", "o_custkey AS data_length")), "SELECT doc_id AS qid, 1 AS project_id, n_chars AS data_length FROM documents UNION ALL SELECT o_orderkey, 0, o_custkey FROM orders")
 _add("term_union_distinct", lambda s, d: read(s, d, "part").select(F.lower("p_name").alias("term")).union(read(s, d, "customer").select(F.lower("c_mktsegment"))).distinct(), "SELECT lower(p_name) AS term FROM part UNION SELECT lower(c_mktsegment) FROM customer")
 _add("interval_merge", lambda s, d: links.merge_intervals(read(s, d, "lineitem").selectExpr("l_suppkey AS qid", "l_orderkey * 10 AS lo", "l_orderkey * 10 + l_partkey AS hi"), "qid", "lo", "hi"), f"SELECT qid, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(hi) OVER (PARTITION BY qid ORDER BY lo, hi {_BEFORE}) AS reach FROM (SELECT l_suppkey AS qid, l_orderkey * 10 AS lo, l_orderkey * 10 + l_partkey AS hi FROM lineitem))) GROUP BY qid, island")
-_add("compression_stats", lambda s, d: read(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 3).alias("mean"), F.round(F.stddev_pop("n_chars"), 3).alias("deviation"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.sum("n_chars").alias("total")), "SELECT lang, count(*) AS n, round(avg(n_chars), 3) AS mean, round(stddev_pop(n_chars), 3) AS deviation, min(n_chars) AS least, max(n_chars) AS most, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang")
-_add("latest_per_group", lambda s, d: read(s, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.max("url").alias("latest"), F.count(F.lit(1)).alias("n")), "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, max(url) AS latest, count(*) AS n FROM pages GROUP BY 1")
+_add("latest_per_group", lambda s, d: tags.latest(read(s, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url"), "host", "url"), "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, max(url) AS latest, count(*) AS n FROM pages GROUP BY 1")
