@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,26 @@ def map_rows(df: DataFrame, run: Callable[[dict[str, list]], dict], given: list[
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, [f.name for f in schema.fields])
 
     return df.mapInArrow(apply, schema)
+
+
+#: Bits of a filter at most: a bounded broadcast of 32 MB. What passes by chance only costs work.
+MOST_BITS = 1 << 28
+
+
+def bit_filter(values: DataFrame, col: str) -> np.ndarray:
+    """Which residues, modulo a power of two of at least sixteen times their number (MOST_BITS at most), the values of a long column have. values should be materialized."""
+    bits = 1 << 16
+    n = values.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.col(col), F.lit(bits))
+    found = values.where(F.col(col).isNotNull()).select((at / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({col}, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be among those of the filter."""
+    at = values & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1

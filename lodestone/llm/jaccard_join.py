@@ -1,14 +1,17 @@
-"""N-gram Jaccard join: prefixes over word shingles in an order by frequency class, extended past frequent tokens.
+"""N-gram Jaccard join: extended prefixes over word shingles; rare tokens are indexed alone, frequent ones in combinations.
 
 Two sets of Jaccard similarity 0.8 or more share a token among the first n - ceil(0.8 n) + 1 tokens of each in any
-order that both follow. The order here: tokens of rare classes by hash, then those of frequent classes by hash. A class follows from how often a
-token occurs in the extended prefixes (a quarter longer than a prefix in hash order). Documents of the same set are one class first.
+order that both follow. The order here: tokens of the rare class by hash, then those of the frequent class, those in fewest sets first. The
+class follows from how often a token occurs in the extended prefixes (a quarter longer than a prefix in hash order). Documents of the
+same set are one class first, and only components are asked for, so what is known to be linked isn't compared again.
 
 * Rare tokens are indexed alone: their buckets hold at most RARE sets, whose pairs are verified.
-* Documents whose prefix has no room without frequent tokens are indexed by their whole sets in that order. Buckets
-  that are then over RARE are cut into blocks; each pair of blocks is verified by one task on whole sets, and what it returns
-  is a forest of the links it has found, never all pairs. A second round compares only buckets of which the first left
-  more than one component.
+* Sets whose prefix has no room without frequent tokens are indexed by their whole sets in that order. Sets of a bucket of a
+  frequent token are held against the bucket's first set (a leader), those left against the next: near copies by the thousand become one component
+  with as many comparisons as sets.
+* Buckets that still hold several components are compared whole up to BLOCK sets. Larger ones are indexed again by combinations: the token (or
+  tokens) of the bucket with each token of a prefix in the order of how often tokens occur within the bucket, those in all of its sets
+  left out. Buckets with the same sets count once. Sets that are nearly only what all share are held against those short enough for them.
 """
 
 from __future__ import annotations
@@ -17,20 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bit_filter, map_rows, materialize, passes, table
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: Buckets of at most so many sets are verified pair by pair.
 RARE = 8
-#: Sets of a block of a large bucket.
+#: Sets that one task compares with one another; larger buckets get combinations of one more token.
 BLOCK = 400
-#: Bits of the filters that tell tasks what to skip: a bounded broadcast; what passes by chance only costs work.
-BITS = 1 << 23
+#: Leaders that a bucket's sets are held against, one after the other, and most tokens of a combination (beyond them blocks meet in pairs).
+LEADERS, MOST_TOKENS = 2, 4
 CACHE_WORDS = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,9 +81,9 @@ def extended_length(n: int) -> int:
     return min(n, prefix_length(n) * 5 // 4 + 4) if n else 0
 
 
-def class_id(tokens: np.ndarray) -> int:
-    """What stands for all documents of one set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
+def class_id(tokens: np.ndarray) -> bytes:
+    """128 bits that stand for all documents of one set."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def _long(tokens: np.ndarray) -> np.ndarray:
@@ -106,43 +110,28 @@ def may_be_similar(n: int, x: bytes, m: int, y: bytes) -> bool:
 def _scan(docs: DataFrame, whole: bool) -> DataFrame:
     """doc_id, n and cls of each row; with `whole` also its sketch and ext (the extended prefix in order of the unsigned hash)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingle_set(t if isinstance(t, str) else None) for t in pdf["text"]]
-            out = {"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": [class_id(s) for s in sets]}
-            if whole:
-                out |= {"sketch": [parity_sketch(s) for s in sets], "ext": [_long(s[: extended_length(len(s))]) for s in sets]}
-            yield pd.DataFrame(out)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, cls long" + ", sketch binary, ext array<long>" * whole)
-
-
-def bit_filter(values: DataFrame, col: str) -> np.ndarray:
-    """Which residues modulo BITS the values of a long column have, as BITS / 64 words at most."""
-    at = F.pmod(F.col(col), F.lit(BITS))
-    bits = values.where(F.col(col).isNotNull()).select((at / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({col}, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return out
-
+    def run(columns: dict[str, list]) -> dict:
+        sets = [shingle_set(t) for t in columns["text"]]
+        out = {"n": [len(s) for s in sets], "cls": [class_id(s) for s in sets]}
+        if whole:
+            out |= {"sketch": [parity_sketch(s) for s in sets], "ext": [_long(s[: extended_length(len(s))]) for s in sets]}
+        return out
 
-def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & (BITS - 1)
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ["text"], "n long, cls binary" + ", sketch binary, ext array<long>" * whole)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and set (binary) of the documents whose first_id is in wanted, and of a few others that pass the filter by chance; null ids pass."""
+    """cls and set (binary) of the classes in wanted (cls, first_id, materialized): only documents whose ids may be wanted are read into sets again; null ids may be."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "first_id"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["doc_id"].astype("Int64")
-            own = pdf[ids.isna().to_numpy() | passes(bits.value, ids.fillna(0).to_numpy(np.int64))]
-            sets = [shingle_set(t if isinstance(t, str) else None) for t in own["text"]]
-            yield pd.DataFrame({"cls": [class_id(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            own = ids.is_null().to_numpy(zero_copy_only=False) | passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            sets = [shingle_set(t) for t in batch.column("text").filter(pa.array(own)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "cls long, tokens binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cls binary, tokens binary")
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
@@ -157,10 +146,10 @@ def _verify_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """Star edges that connect what a symmetric boolean matrix links."""
-    left, out = np.ones(len(ids), bool), []
-    for i in range(len(ids)):
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Star edges, by row number, that connect what a symmetric boolean matrix links."""
+    left, out = np.ones(len(linked), bool), []
+    for i in range(len(linked)):
         if not left[i]:
             continue
         left[i] = False
@@ -169,7 +158,7 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
             j = front.pop()
             new = np.flatnonzero(linked[j] & left)
             left[new] = False
-            out += [(int(ids[i]), int(ids[k])) for k in new]
+            out += [(i, int(k)) for k in new]
             front += new.tolist()
     return out
 
@@ -195,7 +184,7 @@ def overlaps(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ok = [may_be_similar(*x) for x in zip(pdf["n_a"], pdf["sketch_a"], pdf["n_b"], pdf["sketch_b"])]
-        yield pdf.loc[ok, ["a", "first_a", "b", "first_b"]].astype({"first_a": "Int64", "first_b": "Int64"})
+        yield pdf.loc[ok, ["a", "b"]]
 
 
 def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,11 +193,11 @@ def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
     common, n = overlaps(sets), np.array([len(s) for s in sets], np.float64)
     linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
-    parts, at = np.unique(pdf["part"].to_numpy(np.int64), return_inverse=True)
+    parts, at = np.unique(pdf["part"].to_numpy(object), return_inverse=True)
     joined = np.zeros((len(parts), len(parts)), bool)
     x, y = np.nonzero(linked)
     joined[at[x], at[y]] = True
-    return pd.DataFrame(forest(parts, joined), columns=["a", "b"])
+    return pd.DataFrame([(parts[i], parts[j]) for i, j in forest(joined)], columns=["a", "b"])
 
 
 def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,13 +206,21 @@ def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("key", "cls", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    return pairs.join(sets, "cls").groupBy("key", "x", "y").applyInPandas(_verify_block, "a long, b long")
+    return pairs.join(sets, "cls").groupBy("key", "x", "y").applyInPandas(_verify_block, "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones of pairs of classes."""
+    own = pairs.select("a", "b")
+    for side in "ab":
+        own = own.join(sets.select(F.col("cls").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    return own.mapInPandas(_verify_pairs, "a binary, b binary")
 
 
 def _index(reps: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index rows (token, cls, n) of sets whose prefix has room for rare tokens only, and the other sets (cls, first_id).
+    """Index rows (token, cls, n) of sets whose prefix has room for rare tokens only, and the classes of the other sets.
 
-    counts has the tokens that two extended prefixes or more have.
+    counts (materialized) has the tokens that two extended prefixes or more have.
     """
     bits = reps.sparkSession.sparkContext.broadcast(bit_filter(counts, "token"))
 
@@ -236,36 +233,103 @@ def _index(reps: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             keep = passes(bits.value, flat)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
             own = np.repeat(np.arange(len(pdf)), lens)[keep]
-            yield pd.DataFrame({"token": flat[keep], "pos": pos[keep].astype(np.int32), "cls": pdf["cls"].to_numpy()[own], "n": pdf["n"].to_numpy()[own], "first_id": pdf["first_id"].astype("Int64").to_numpy()[own]})
+            yield pd.DataFrame({"token": flat[keep], "pos": pos[keep].astype(np.int32), "cls": pdf["cls"].to_numpy()[own], "n": pdf["n"].to_numpy()[own]})
 
-    rows = reps.select("cls", "n", "first_id", "ext").mapInPandas(run, "token long, pos int, cls long, n long, first_id long").join(counts, "token")
+    rows = reps.select("cls", "n", "ext").mapInPandas(run, "token long, pos int, cls binary, n long").join(counts, "token")
     rows = materialize(rows, "prefix-rows")
     p = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1")
     room = F.expr(f"least(n, (n - (({PERCENT} * n + 99) div 100) + 1) * 5 div 4 + 4)")
     frequent = rows.where(F.col("c") > RARE)
-    per = frequent.groupBy("cls").agg(F.count(F.lit(1)).alias("f"), F.first("n").alias("n"), F.first("first_id").alias("first_id"))
-    full = per.where((room - F.col("f") < p) & (F.col("f") > 0)).select("cls", "first_id")
+    per = frequent.groupBy("cls").agg(F.count(F.lit(1)).alias("f"), F.first("n").alias("n"))
+    full = per.where((room - F.col("f") < p) & (F.col("f") > 0)).select("cls")
     # the rank of a rare token: its place less the frequent ones before it; places differ by f at most, so only tokens at p or later need the count
     before = frequent.groupBy("cls").agg(F.sort_array(F.collect_list("pos")).alias("at"))  # bounded by the extended prefix
-    rare = rows.where(F.col("c") <= RARE).join(full.select("cls"), "cls", "left_anti").join(before, "cls", "left")
+    rare = rows.where(F.col("c") <= RARE).join(full, "cls", "left_anti").join(before, "cls", "left")
     rank = F.col("pos") - F.coalesce(F.size(F.filter("at", lambda x: x < F.col("pos"))), F.lit(0))
-    return rare.where(F.when(F.col("at").isNull(), F.col("pos")).otherwise(rank) < p).select("token", "cls", "n", "first_id"), full
+    return rare.where(F.when(F.col("at").isNull(), F.col("pos")).otherwise(rank) < p).select("token", "cls", "n"), full
 
 
-def _full_index(sets: DataFrame, full: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Index rows (token, cls, n, first_id) of the sets in full: their prefixes in the order (frequent or not, hash) of whole sets."""
-    own = full.join(sets, "cls")
+def _tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and token of every token of sets (keys, tokens), some thousands of rows of a long set at a time."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in rows.select(*keys).schema.fields) + ", n long, token long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cls, first, raw in zip(pdf["cls"], pdf["first_id"].astype("Int64"), pdf["tokens"]):
-                s = np.frombuffer(raw, np.uint64)
-                yield pd.DataFrame({"token": _long(s), "pos": np.arange(len(s), dtype=np.int32), "cls": cls, "n": len(s), "first_id": pd.array([first] * len(s), dtype="Int64")})
-
-    rows = own.mapInPandas(run, "token long, pos int, cls long, n long, first_id long").join(frequent.select("token", F.lit(1).alias("often")), "token", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    ranked = rows.groupBy("cls", "n", "first_id").agg(F.sort_array(F.collect_list(F.struct("often", "pos", "token"))).alias("all"))  # bounded by the set
+            sets = [np.frombuffer(x, np.int64) for x in pdf["tokens"]]
+            lens = np.array([len(s) for s in sets], np.int64)
+            ends, i = np.cumsum(lens), 0
+            while i < len(sets):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 200_000, side="right")))
+                own = np.repeat(np.arange(i, j), lens[i:j])
+                yield pd.DataFrame({k: pdf[k].to_numpy()[own] for k in keys} | {"n": lens[own], "token": np.concatenate(sets[i:j])})
+                i = j
+
+    return rows.select(*keys, "tokens").mapInPandas(run, schema)
+
+
+def _full_index(full: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """Index rows (token, cls, n) of the sets in full: their prefixes in the order (frequent or not, sets that have it, hash) of whole sets."""
+    rows = _tokens(full.join(sets, "cls"), ["cls"])
+    often = counts.where(F.col("c") > RARE).select("token", F.lit(1).alias("often"))
+    known = materialize(rows.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(0))), "full-tokens")
+    many = known.where("often = 1").groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    rows = known.join(many, "token", "left").withColumn("sets", F.coalesce("sets", F.lit(0)))
+    ranked = rows.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "sets", "token"))).alias("all"))  # bounded by the set
     p = F.expr(f"cast(n - (({PERCENT} * n + 99) div 100) + 1 as int)")
-    return ranked.select("cls", "n", "first_id", F.explode(F.slice("all", F.lit(1), p)).alias("t")).select(F.col("t.token").alias("token"), "cls", "n", "first_id")
+    return ranked.select("cls", "n", F.explode(F.slice("all", F.lit(1), p)).alias("t")).select(F.col("t.token").alias("token"), "cls", "n")
+
+
+def _leaders(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets to leaders: each set stands in one bucket (key, cls), and is held against the bucket's first set, then, if that isn't similar, against the first of those left."""
+    first = materialize(large.groupBy("cls").agg(F.min("key").alias("key")), "leader-rows")
+    links = None
+    for _ in range(LEADERS):
+        lead = first.groupBy("key").agg(F.min("cls").alias("a"))
+        own = materialize(_verified(first.join(lead, "key").where("cls <> a").select("a", F.col("cls").alias("b")), sets), "leader-links")
+        links = own if links is None else links.union(own)
+        first = materialize(first.join(own.select(F.col("b").alias("cls")), "cls", "left_anti").join(lead.select(F.col("a").alias("cls")), "cls", "left_anti"), "leader-rows")
+    return links
+
+
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """rows (key, cls, part) of the buckets that hold more than one part, with m; of buckets with the same sets one stays."""
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("h2")).where("lo <> hi")
+    keep = per.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
+    return materialize(rows.join(keep, "key"), "buckets")
+
+
+def _short(large: DataFrame, loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of loose sets (key, cls, part, n) with the sets of their bucket that are short enough to be similar; large has key, cls, part, n and m."""
+    most = loose.groupBy("key").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("loose"))
+    near = large.join(most, "key").where(F.col("n") * PERCENT <= F.col("most") * 100).select("key", "cls", "part")
+    near = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+    return _blocks(near, sets)
+
+
+def _combined(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the parts of buckets (key, cls, part), by combinations of one more token where a bucket is large."""
+    out = None
+    add = lambda more: more if out is None else out.union(more)
+    for depth in range(2, MOST_TOKENS + 1):
+        rows = _distinct_buckets(rows)
+        out = add(materialize(_blocks(rows.where(F.col("m") <= BLOCK), sets), "bucket-links"))
+        large = rows.where(F.col("m") > BLOCK)
+        if large.isEmpty():
+            return out
+        if depth == MOST_TOKENS:
+            return add(materialize(_blocks(large, sets), "bucket-links"))
+        tokens = materialize(_tokens(large.join(sets, "cls"), ["key", "cls", "part", "m"]), "bucket-tokens")
+        local = tokens.groupBy("key", "token").agg(F.count(F.lit(1)).alias("sets"))
+        e = F.expr(f"cast(n - (({PERCENT} * n + 99) div 100) as int)")
+        rest = tokens.join(local, ["key", "token"]).where(F.col("sets") < F.col("m")).groupBy("key", "cls", "part", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("all"))  # bounded by the set
+        whole = tokens.groupBy("key", "cls", "part", "n").agg(F.first("m").alias("m"))
+        ranked = materialize(whole.join(rest.select("key", "cls", F.slice("all", F.lit(1), e + 1).alias("first")), ["key", "cls"], "left"), "bucket-prefixes")
+        loose = ranked.where(F.coalesce(F.size("first"), F.lit(0)) <= e)
+        if not loose.isEmpty():
+            out = add(materialize(_short(ranked, loose, sets), "short-links"))
+        again = ranked.where(F.size("first") > e).select("key", "cls", "part", F.explode("first").alias("t"))
+        rows = materialize(again.select(F.concat("key", F.unhex(F.lpad(F.hex("t.token"), 16, "0"))).alias("key"), "cls", "part"), "combinations")
+    return out
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -276,45 +340,34 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     all ids of a component are null). Rows repeated with one doc_id are linked through their texts only. No rows: no
     rows. Other columns are neither read nor returned.
     """
-    spark = docs.sparkSession
     found = _scan(docs, True).where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sketch", "ext")).alias("r"))
     reps = materialize(found.select("cls", F.col("r.doc_id").alias("first_id"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), F.col("r.ext").alias("ext")), "classes")
+    ids = reps.select("cls", "first_id")
     counts = materialize(reps.select(F.explode("ext").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "token-counts")
     rare, full = _index(reps, counts)
     rare, full = materialize(rare, "rare-index"), materialize(full, "full")
-    full_sets = materialize(whole_sets(docs, full), "full-sets")
-    index = rare.union(_full_index(full_sets, full, counts.where(F.col("c") > RARE)).select(rare.columns))
-    index = materialize(index, "index")
+    full_sets = materialize(whole_sets(docs, materialize(full.join(ids, "cls"), "full-ids")), "full-sets")
+    index = materialize(rare.union(_full_index(full, full_sets, counts).select(rare.columns)), "index")
     sizes = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     index = materialize(index.join(sizes, "token"), "index")
-    # rare buckets: their pairs, where sizes allow the similarity
-    bucket = index.where(F.col("m") <= RARE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "first_id"))).alias("s"))  # RARE at most
+    # small buckets: their pairs, where sizes and sketches allow the similarity
+    bucket = index.where(F.col("m") <= RARE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("s"))  # RARE at most
     pairs = bucket.select("s", F.posexplode("s").alias("i", "x")).select("x", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("y")).where(F.col("x.n") * 100 >= F.col("y.n") * PERCENT)
-    pairs = materialize(pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.when(F.col("x.cls") < F.col("y.cls"), F.col("x.first_id")).otherwise(F.col("y.first_id")).alias("first_a"), F.when(F.col("x.cls") < F.col("y.cls"), F.col("y.first_id")).otherwise(F.col("x.first_id")).alias("first_b")).distinct(), "pairs")
+    pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     sketches = reps.select("cls", "n", "sketch")
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    pairs = materialize(pairs.mapInPandas(_likely, "a long, first_a long, b long, first_b long"), "likely-pairs")
-    large = index.where(F.col("m") > RARE)
-    wanted = pairs.select(F.col("a").alias("cls"), F.col("first_a").alias("first_id")).union(pairs.select("b", "first_b")).union(large.select("cls", "first_id")).distinct()
-    sets = materialize(whole_sets(docs, wanted), "sets")
-    found = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b")), "b").mapInPandas(_verify_pairs, "a long, b long")
-    # large buckets, first round: each set in the bucket of its least large token
-    first = large.groupBy("cls").agg(F.min("token").alias("key"))
-    first = first.join(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    links = materialize(found.union(_blocks(first.where("m > 1").withColumn("part", F.col("cls")), sets)), "links")
+    pairs = materialize(pairs.mapInPandas(_likely, "a binary, b binary"), "likely-pairs")
+    large = index.where(F.col("m") > RARE).select(F.unhex(F.lpad(F.hex("token"), 16, "0")).alias("key"), "cls")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
+    sets = materialize(whole_sets(docs, materialize(wanted.join(ids, "cls"), "wanted")), "sets")
+    links = materialize(_verified(pairs, sets).union(_leaders(large, sets)), "links")
     parts = materialize(connected_components(links), "parts")
-    # second round: buckets that still hold more than one component; sets that such buckets connect meet once, whatever the number of buckets
-    rest = large.select(F.col("token").alias("key"), "cls", "m").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(rest.join(mixed, "key").select("key", "cls", "component"), "mixed")
-    groups = connected_components(rest.join(rest.groupBy("key").agg(F.min("cls").alias("a")), "key").select("a", F.col("cls").alias("b")))
-    near = rest.select("cls", "component").distinct().join(groups.withColumnRenamed("node", "cls").withColumnRenamed("component", "key"), "cls", "left").select(F.coalesce("key", "cls").alias("key"), "cls", F.col("component").alias("part"))
-    near = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    more = materialize(_blocks(near, sets), "links-2")
+    rest = large.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
+    more = _combined(materialize(rest, "large-buckets"), sets)
     if not more.isEmpty():
         parts = connected_components(links.union(more))
-    label = reps.select("cls", "first_id").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    label = ids.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("cls", "component_id")
     empty = F.col("n") == 0
     return _scan(docs, False).join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -322,3 +375,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles FROM w),
+u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS t FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b USING (t) WHERE a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT doc_id, len(shingles) AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id FROM s
+"""
