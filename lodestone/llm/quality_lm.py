@@ -1,10 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney character n-grams of trusted text, perplexity, quantiles by language.
 
-Counts of all trusted documents are pre-aggregated by task and summed by n-gram; lower orders, sums of histories, discounts
-and interpolated probabilities are joins and sums of those tables, dealt by n-gram. Documents are then scored in one pass with
-the finished table where it has at most MODEL_ROWS rows, which is checked; beyond that, n-grams of documents are joined
-with the table in shards by n-gram. Both give the same figures. A document is kept if its perplexity is at most the
-QUANTILE of the trusted documents of its language.
+N-grams run over word edges, so the order of words counts. Counts of all trusted documents are pre-aggregated by task and summed by n-gram; lower
+orders, sums of histories, discounts and interpolated probabilities are joins and sums of those tables, dealt by n-gram. Documents are written once
+in blocks of some megabytes; the distinct n-grams of each block, their suffixes and histories are joined with the model in shards by n-gram, and what is
+found comes back to the block, whose documents it scores. No table of the model is gathered anywhere, so none has to be small. A document is kept if
+its perplexity is at most MARGIN times the QUANTILE of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -13,25 +13,68 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HELD_OUT, fold, materialize, table
-from .jaccard_join import bit_filter, passes
 
 ORDER = 4
 START, END = "\x02", "\x03"
-QUANTILE, MARGIN = 0.99, 1.1
-MODEL_ROWS = 1_500_000
-CACHE_WORDS = 200_000
+#: Characters that texts lose, as white space: the two marks, and the one that arrays of strings end with.
+MARKS = {0: " ", 2: " ", 3: " "}
+QUANTILE, MARGIN = 0.99, 1.5
+#: Characters of text in a block (a longer text is a block of its own), and code points worked on at once.
+BLOCK_CHARS, CHUNK = 12_000_000, 1_000_000
 #: Score of a document without words.
 NO_WORDS = 1.0
 
 
-def grams_of(word: str) -> list[str]:
-    s = START * (ORDER - 1) + word + END
-    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+def sequence_of(text: str | None) -> str:
+    """A text between marks: lower case, words apart by one space; without words nothing."""
+    words = text.lower().translate(MARKS).split() if text else []
+    return START * (ORDER - 1) + " ".join(words) + END if words else ""
+
+
+def chunks(sequences: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(number, piece) of the sequences, CHUNK code points or a little more at once; pieces of a long one share ORDER - 1 characters."""
+    held, size = [], 0
+    for i, s in enumerate(sequences):
+        for at in range(0, max(1, len(s) - ORDER + 1), CHUNK):
+            piece = s[at : at + CHUNK + ORDER - 1]
+            if len(piece) < ORDER:
+                continue
+            held.append((i, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def distinct_grams(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct n-grams of some pieces, the number of each place's one, and where each piece's places start."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, ids = np.unique(codes, return_inverse=True)
+    lens = np.array([len(p) for p in pieces])
+    ends = np.cumsum(lens)
+    at = np.arange(len(codes))
+    at = at[np.repeat(ends, lens) - at >= ORDER]
+    starts = np.cumsum(lens - ORDER + 1) - (lens - ORDER + 1)
+    width = int(len(alphabet)).bit_length()
+    if width * ORDER <= 64:
+        ids = ids.astype(np.uint64)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(ORDER):
+            key = (key << np.uint64(width)) | ids[at + k]
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    else:
+        _, first, number = np.unique(np.stack([ids[at + k] for k in range(ORDER)], axis=1), axis=0, return_index=True, return_inverse=True)
+    rows = np.ascontiguousarray(np.stack([codes[at[first] + k] for k in range(ORDER)], axis=1))
+    return rows.view(f"<U{ORDER}").ravel().tolist(), number.ravel(), starts
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -39,39 +82,27 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality_label")).where("quality_label > 0").select("doc_id")
 
 
-def _counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """gram and its count c in the trusted texts; only texts that may be trusted leave their task."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(trusted, "doc_id"))
+def _counts(texts: DataFrame) -> DataFrame:
+    """gram and its count c in the texts."""
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["doc_id"].astype("Int64")
-            own = passes(bits.value, ids.fillna(0).to_numpy("int64")) & ids.notna().to_numpy() & pdf["text"].notna().to_numpy()
-            if own.any():
-                yield pdf.assign(doc_id=ids)[own]
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter[str] = Counter()
 
-        def out() -> pd.DataFrame:
-            done = pd.DataFrame({"gram": list(sums), "c": list(sums.values())})
+        def out() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["gram", "c"])
             sums.clear()
             return done
 
-        for pdf in batches:
-            words: Counter[str] = Counter()
-            for t in pdf["text"]:
-                words.update(t.lower().split())
-            for w, n in words.items():
-                for g in grams_of(w):
-                    sums[g] += n
+        for batch in batches:
+            for held in chunks([sequence_of(t) for t in batch.column("text").to_pylist()]):
+                grams, number, _ = distinct_grams([p for _, p in held])
+                sums.update(dict(zip(grams, np.bincount(number).tolist())))
                 if len(sums) > 1_000_000:
                     yield out()
         if sums:
             yield out()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(likely, "doc_id long, text string").join(trusted, "doc_id")
-    return own.select("text").mapInPandas(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -84,7 +115,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """kind ('p' or 'g'), gram and value: the interpolated probability of each n-gram's last character, and the back-off weight of each history."""
+    """gram, p (the interpolated probability of its last character) and gamma (its back-off weight as a history), null where it has none; '' has the probability of an unseen character as p."""
     by_order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         by_order[k] = materialize(by_order[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"kn-{k}")
@@ -99,16 +130,16 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         if lower is None:
             size = c.count() + 1
             p = here.select("gram", ((F.col("c") - F.col("d")) / F.col("s") + F.col("gamma") / size).alias("value"))
-            parts.append(c.sparkSession.createDataFrame([("u", "", 1.0 / size)], "kind string, gram string, value double"))
+            parts.append(c.sparkSession.createDataFrame([("", 1.0 / size, None)], "gram string, p double, gamma double"))
         else:
             low = lower.select(F.col("gram").alias("tail"), F.col("value").alias("low"))
             p = here.withColumn("tail", F.expr(f"substring(gram, 2, {k - 1})")).join(low, "tail").select("gram", ((F.col("c") - F.col("d")) / F.col("s") + F.col("gamma") * F.col("low")).alias("value"))
         lower = materialize(p, f"kn-p{k}")
-        parts += [lower.select(F.lit("p").alias("kind"), "gram", "value"), hist.select(F.lit("g").alias("kind"), F.col("h").alias("gram"), F.col("gamma").alias("value"))]
+        parts += [lower.select("gram", F.col("value").alias("p"), F.lit(None).cast("double").alias("gamma")), hist.select(F.col("h").alias("gram"), F.lit(None).cast("double").alias("p"), "gamma")]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return materialize(out, "kn-model")
+    return materialize(out.groupBy("gram").agg(F.max("p").alias("p"), F.max("gamma").alias("gamma")), "kn-model")
 
 
 def gram_log_probability(gram: str, p: dict[str, float], gamma: dict[str, float], unseen: float) -> float:
@@ -122,78 +153,111 @@ def gram_log_probability(gram: str, p: dict[str, float], gamma: dict[str, float]
     return math.log(weight * unseen)
 
 
-def _score_by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    p, gamma, unseen = {}, {}, 1.0
-    for r in model.toLocalIterator():
-        if r["kind"] == "u":
-            unseen = r["value"]
-        else:
-            (p if r["kind"] == "p" else gamma)[r["gram"]] = r["value"]
-    shared = docs.sparkSession.sparkContext.broadcast((p, gamma, unseen))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probs, weights, floor = shared.value
-        known: dict[str, float] = {}
-        for pdf in batches:
-            scores, sizes = [], []
-            for t in pdf["text"]:
-                words = t.lower().split() if isinstance(t, str) else []
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                total = 0.0
-                for w in words:
-                    s = known.get(w)
-                    if s is None:
-                        s = sum(gram_log_probability(g, probs, weights, floor) for g in grams_of(w))
-                        if len(w) < 64:
-                            known[w] = s
-                    total += s
-                n = sum(map(len, words)) + len(words)
-                scores.append(math.exp(-total / n) if n else NO_WORDS)
-                sizes.append(n)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang": pdf["lang"], "perplexity": scores, "n_units": sizes})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInPandas(run, "doc_id long, lang string, perplexity double, n_units long")
-
-
-def _score_by_shards(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same figures by joins dealt by n-gram, for tables too large to send to every executor."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "lang", "text").alias("row_key"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, t in zip(pdf["row_key"], pdf["text"]):
-                n = Counter(g for w, k in Counter(t.lower().split() if isinstance(t, str) else []).items() for g in grams_of(w) * k)
-                if n:
-                    yield pd.DataFrame({"row_key": key, "gram": list(n), "n": list(n.values())})
-
-    rows = materialize(keyed.dropDuplicates(["row_key"]).select("row_key", "text").mapInPandas(run, "row_key long, gram string, n long"), "doc-grams")
-    types = rows.select("gram").distinct().withColumn("weight", F.lit(1.0)).withColumn("p", F.lit(None).cast("double"))
+def gram_log_probability(gram: str, model: dict[str, tuple[float | None, float | None]], unseen: float) -> float:
+    """log P(last character | the others) by the longest seen n-gram and the weights of the histories above it."""
+    weight = 1.0
     for k in range(ORDER, 0, -1):
-        tail = F.expr(f"substring(gram, {ORDER - k + 1}, {k})")
-        probs = model.where("kind = 'p'").select(F.col("gram").alias("tail"), F.col("value").alias("p_k"))
-        weights = model.where("kind = 'g'").select(F.col("gram").alias("head"), F.col("value").alias("g_k"))
-        types = types.withColumn("tail", tail).withColumn("head", F.expr(f"substring(gram, {ORDER - k + 1}, {k - 1})")).join(probs, "tail", "left").join(weights, "head", "left")
-        types = types.select("gram", F.coalesce("p", F.col("weight") * F.col("p_k")).alias("p"), (F.col("weight") * F.coalesce("g_k", F.lit(1.0))).alias("weight"))
-    floor = model.where("kind = 'u'").first()["value"]
-    types = types.select("gram", F.log(F.coalesce("p", F.col("weight") * floor)).alias("logp"))
-    sums = rows.join(types, "gram").groupBy("row_key").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("units"))
-    out = keyed.select("doc_id", "lang", "row_key").join(sums, "row_key", "left")
-    return out.select("doc_id", "lang", F.when(F.col("units") > 0, F.exp(-F.col("total") / F.col("units"))).otherwise(F.lit(NO_WORDS)).alias("perplexity"), F.coalesce("units", F.lit(0)).alias("n_units"))
-
-
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, model_rows: int = MODEL_ROWS) -> DataFrame:
+        g = gram[ORDER - k :]
+        p = model.get(g, _NONE)[0]
+        if p is not None:
+            return math.log(weight * p)
+        gamma = model.get(g[:-1], _NONE)[1]
+        weight *= 1.0 if gamma is None else gamma
+    return math.log(weight * unseen)
+
+
+_NONE = (None, None)
+
+
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and text with `block`, a number that some neighbours of a partition share; written, so that it stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = []
+            for n in batch.column("chars").to_pylist():
+                if size and size + n > BLOCK_CHARS:
+                    block, size = block + 1, 0
+                numbers.append(block)
+                size += n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "text")), pa.array(numbers, pa.int64())], ["doc_id", "lang", "text", "block"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    return materialize(rows.mapInArrow(run, "doc_id long, lang string, text string, block long"), "quality-blocks")
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """block and gram: everything that the model may be asked for about each block's n-grams, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = set(), None
+
+        def out() -> pa.RecordBatch:
+            names = {g[k:] for g in held for k in range(ORDER)}
+            names |= {g[k:-1] for g in held for k in range(ORDER - 1)}
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(names), pa.int64()), pa.array(list(names), pa.string())], ["block", "gram"])
+
+        for batch in batches:
+            numbers, texts = batch.column("block").to_pylist(), batch.column("text").to_pylist()
+            i = 0
+            while i < len(numbers):
+                j = i
+                while j < len(numbers) and numbers[j] == numbers[i]:
+                    j += 1
+                if block is not None and numbers[i] != block and held:
+                    yield out()
+                    held.clear()
+                block = numbers[i]
+                for some in chunks([sequence_of(t) for t in texts[i:j]]):
+                    held.update(distinct_grams([p for _, p in some])[0])
+                i = j
+        if held:
+            yield out()
+
+    return blocks.mapInArrow(run, "block long, gram string")
+
+
+def _perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, perplexity and n_units of every row, by joins dealt by n-gram and then by block."""
+    blocks = _in_blocks(docs)
+    unseen = model.where("gram = ''").first()["p"]
+    found = _asked(blocks).join(model.where("gram <> ''").hint("shuffle_merge"), "gram").select("block", "gram", "p", "gamma")
+    top = {"": (None, model.where("gram = ''").first()["gamma"])}  # the weight of the empty history
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        names = dict(zip(known.column("gram").to_pylist(), zip(known.column("p").to_pylist(), known.column("gamma").to_pylist()))) | top
+        texts = [sequence_of(t) for t in rows.column("text").to_pylist()]
+        sums, units, logs = np.zeros(len(texts)), np.zeros(len(texts), np.int64), {}
+        for some in chunks(texts):
+            grams, number, starts = distinct_grams([p for _, p in some])
+            own = np.empty(len(grams))
+            for i, g in enumerate(grams):
+                x = logs.get(g)
+                if x is None:
+                    x = logs[g] = gram_log_probability(g, names, unseen)
+                own[i] = x
+            at = [i for i, _ in some]
+            np.add.at(sums, at, np.add.reduceat(own[number], starts))
+            np.add.at(units, at, np.diff(np.append(starts, len(number))))
+        perplexity = np.where(units > 0, np.exp(-sums / np.maximum(units, 1)), NO_WORDS)
+        return pa.table([rows.column("doc_id"), rows.column("lang"), pa.array(perplexity), pa.array(units)], names=["doc_id", "lang", "perplexity", "n_units"])
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, lang string, perplexity double, n_units long")
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_units, perplexity, threshold and keep of every whole text.
 
     threshold is `margin` times the quantile of the trusted documents' perplexities in the row's language, null where a
     language (null is one too) has none; such rows are kept, and so are texts without words, whose perplexity is 1. Without
     trusted text every score rests on the uniform distribution and all rows are kept. Repeated rows give repeated results; null doc_id is
-    never trusted. No rows: no rows. Other columns are ignored.
+    never trusted. The characters in MARKS count as white space. No rows: no rows. Other columns are ignored.
     """
     trusted = materialize(trusted_rows(docs, labels), "trusted")
-    model = kneser_ney(materialize(_counts(docs, trusted), "kn-counts"))
-    score = _score_by_broadcast if model.count() <= model_rows else _score_by_shards
-    scored = materialize(score(docs, model), "perplexities")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(trusted, "doc_id")
+    model = kneser_ney(materialize(_counts(texts), "kn-counts"))
+    scored = materialize(_perplexities(docs, model), "perplexities")
     cut = scored.join(trusted, "doc_id", "left_semi").where("n_units > 0").groupBy(F.col("lang").alias("of")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
     cut = materialize(cut, "thresholds")
     out = scored.join(cut, scored["lang"].eqNullSafe(cut["of"]), "left")
