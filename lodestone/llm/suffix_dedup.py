@@ -6,8 +6,10 @@ minimizers then build a run-compressed Burrows-Wheeler transform of their distin
 common prefixes at run ends alone, and stream matching statistics along the text: within a run the value is the one before it
 less one. Windows whose matching statistic reaches 200, or whose segment has copies, are repeated.
 
-A minimizer with more than HOT segment rows (the edges of a passage that very many documents share) is not put in one
-bucket; its windows are counted by 128-bit hashes of blocks and, where blocks differ, of windows, pre-aggregated, so no task holds an unbounded group.
+A minimizer with more than HOT distinct segments (the edges of a passage that very many documents share) is not put in one bucket. Equal
+windows lie at the same distance from it, so its segments are cut into pieces of a few windows by that distance; pieces are dealt by the
+bytes that all their windows share, equal ones are one, and each bucket of pieces gets a run index of its own. Only where one such core still has
+more than HOT distinct pieces are its windows made equal one by one, pre-aggregated, so that no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -21,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_buckets, table
-from .jaccard_join import bit_filter, passes
+from .common import bit_filter, materialize, n_buckets, passes, table
 
 LENGTH = 200
 GRAM = 32
@@ -64,13 +65,23 @@ def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return first, np.append(first[1:], n), h[at[first]].view(np.int64), at[first]
 
 
-def _row_key(doc_id, raw: bytes) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw + repr(doc_id).encode()))))
+def _row_key(doc_id: str | None, raw: bytes) -> bytes:
+    """128 bits that stand for a row; rows alike in id and text share them, and their fate."""
+    return xxhash.xxh3_128_digest(raw + b"\0" + repr(doc_id).encode())
 
 
-def _texts(pdf: pd.DataFrame) -> Iterator[tuple[int | None, bytes]]:
-    for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-        yield (None if d is pd.NA else int(d)), (t.encode("utf-8", "replace") if isinstance(t, str) else b"")
+def _key_bits(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id as text (in pandas a null would make doubles of its neighbours) and text."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+
+
+def _texts(pdf: pd.DataFrame) -> Iterator[tuple[str | None, bytes]]:
+    for d, t in zip(pdf["doc_id"], pdf["text"]):
+        yield (d if isinstance(d, str) else None), (t.encode("utf-8", "replace") if isinstance(t, str) else b"")
 
 
 def _minimizers(docs: DataFrame) -> DataFrame:
@@ -79,10 +90,10 @@ def _minimizers(docs: DataFrame) -> DataFrame:
             held = [segments(raw)[2] for _, raw in _texts(pdf)]
             yield pd.DataFrame({"anchor": np.concatenate(held) if held else np.zeros(0, np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "anchor long")
+    return _rows(docs).mapInPandas(run, "anchor long")
 
 
-PARTS = "kind int, anchor long, seg long, row_key long, start int, copies long, back int, body binary"
+PARTS = "kind int, anchor long, seg long, row_key binary, start int, copies long, back int, body binary"
 
 
 def _parts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -105,11 +116,11 @@ def _parts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     old = distinct.get((k, seg))
                     distinct[k, seg] = (old[0] + 1 if old else 1, p - a, body)
             cols = list(zip(*places)) if places else [[], [], [], []]
-            yield pd.DataFrame({"kind": 0, "anchor": np.array(cols[0], np.int64), "seg": np.array(cols[1], np.int64), "row_key": pd.array(cols[2], dtype="Int64"), "start": pd.array(cols[3], dtype="Int32"), "copies": pd.array([None] * len(places), dtype="Int64"), "back": pd.array([None] * len(places), dtype="Int32"), "body": None})
+            yield pd.DataFrame({"kind": 0, "anchor": np.array(cols[0], np.int64), "seg": np.array(cols[1], np.int64), "row_key": pd.Series(list(cols[2]), dtype=object), "start": pd.array(cols[3], dtype="Int32"), "copies": pd.array([None] * len(places), dtype="Int64"), "back": pd.array([None] * len(places), dtype="Int32"), "body": None})
             n = len(distinct)
-            yield pd.DataFrame({"kind": 1, "anchor": np.array([k for k, _ in distinct], np.int64), "seg": np.array([s for _, s in distinct], np.int64), "row_key": pd.array([None] * n, dtype="Int64"), "start": pd.array([None] * n, dtype="Int32"), "copies": pd.array([c for c, _, _ in distinct.values()], dtype="Int64"), "back": pd.array([x for _, x, _ in distinct.values()], dtype="Int32"), "body": [b for _, _, b in distinct.values()]})
+            yield pd.DataFrame({"kind": 1, "anchor": np.array([k for k, _ in distinct], np.int64), "seg": np.array([s for _, s in distinct], np.int64), "row_key": pd.Series([None] * n, dtype=object), "start": pd.array([None] * n, dtype="Int32"), "copies": pd.array([c for c, _, _ in distinct.values()], dtype="Int64"), "back": pd.array([x for _, x, _ in distinct.values()], dtype="Int32"), "body": [b for _, _, b in distinct.values()]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PARTS)
+    return _rows(docs).mapInPandas(run, PARTS)
 
 
 class RunIndex:
@@ -202,7 +213,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Repeated windows of each distinct segment of a bucket."""
+    """Repeated windows of each distinct segment (or piece) of a bucket."""
     out = {"anchor": [], "seg": [], "ranges": []}
     total = pdf.groupby("anchor")["copies"].transform("sum")
     pdf = pdf[total > 1]
@@ -236,35 +247,42 @@ def blocks_of(body: bytes, back: int) -> list[tuple[int, int, int, bytes, bytes
     return out
 
 
-def _hot(rows: DataFrame) -> DataFrame:
-    """The same for hot minimizers, by counts of hashes.
+_MARKS = "anchor long, seg long, ranges array<int>"
 
-    Windows go in blocks of neighbours. A block whose common part occurs once is out; one whose whole span occurs again is
-    in; windows of the others are counted one by one, against those of one of each group of equal spans.
-    """
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """The same for hot minimizers, by run indexes of pieces."""
+    spark = rows.sparkSession
     per = materialize(rows.groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("back").alias("back"), F.first("body").alias("body")), "hot-segments")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(a, s, c, *b) for a, s, c, back, body in zip(pdf["anchor"], pdf["seg"], pdf["copies"], pdf["back"], pdf["body"]) for b in blocks_of(body, int(back))]
-            yield pd.DataFrame(found, columns=["anchor", "seg", "copies", "block", "lo", "hi", "core", "span"])
-
-    blocks = materialize(per.mapInPandas(cut, "anchor long, seg long, copies long, block int, lo int, hi int, core binary, span binary"), "hot-blocks")
-    shared = blocks.groupBy("anchor", "block", "core").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor", "block", "core")
-    spans = blocks.where("span is not null").groupBy("anchor", "block", "span").agg(F.sum("copies").alias("times"), F.min("seg").alias("one")).where("times > 1")
-    live = materialize(blocks.join(shared, ["anchor", "block", "core"]).join(spans, ["anchor", "block", "span"], "left"), "hot-live")
-    single = live.where("times is null or seg = one").select("anchor", "seg", "lo", "hi", F.coalesce("times", "copies").alias("copies")).join(per.select("anchor", "seg", "body"), ["anchor", "seg"])
+            found = [(a, s, c, lo, hi, *np.frombuffer(core, np.int64).tolist()) for a, s, c, back, body in zip(pdf["anchor"], pdf["seg"], pdf["copies"], pdf["back"], pdf["body"]) for _, lo, hi, core, _ in blocks_of(body, int(back))]
+            yield pd.DataFrame(found, columns=["anchor", "seg", "copies", "lo", "hi", "core", "core2"])
+
+    blocks = materialize(per.mapInPandas(cut, "anchor long, seg long, copies long, lo int, hi int, core long, core2 long"), "hot-blocks")
+    shared = blocks.groupBy("core", "core2").agg(F.sum("copies").alias("times")).where("times > 1").select("core", "core2")  # a core that stands once has no equal windows
+    live = blocks.join(shared, ["core", "core2"]).join(per.select("anchor", "seg", "body"), ["anchor", "seg"])
+    body = F.substring("body", F.col("lo") + 1, F.col("hi") - F.col("lo") + LENGTH)
+    pieces = materialize(live.select("anchor", "seg", "copies", "lo", "core", body.alias("body")).withColumn("name", F.xxhash64(F.sha2("body", 256))), "hot-pieces")
+    distinct = materialize(pieces.groupBy("core", "name").agg(F.sum("copies").alias("copies"), F.first("body").alias("body")), "hot-distinct")
+    over = materialize(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("core"), "hot-cores")
+    own = distinct.select(F.col("core").alias("anchor"), F.col("name").alias("seg"), "copies", "body")
+    buckets = n_buckets(spark, distinct.count(), BUCKET_ROWS)
+    by_index = own.join(over.withColumnRenamed("core", "anchor"), "anchor", "left_anti").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: _bucket(pdf), _MARKS)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(a, s, c, w, xxhash.xxh3_128_digest(body[w : w + LENGTH])) for a, s, lo, hi, c, body in pdf.itertuples(index=False) for w in range(lo, hi + 1)]
+            found = [(a, s, c, w, body[w : w + LENGTH]) for a, s, c, body in zip(pdf["anchor"], pdf["seg"], pdf["copies"], pdf["body"]) for w in range(len(body) - LENGTH + 1)]
             yield pd.DataFrame(found, columns=["anchor", "seg", "copies", "at", "window"])
 
-    windows = materialize(single.mapInPandas(explode, "anchor long, seg long, copies long, at int, window binary"), "hot-windows")
+    windows = own.join(over.withColumnRenamed("core", "anchor"), "anchor", "left_semi").select("anchor", "seg", "copies", "body").mapInPandas(explode, "anchor long, seg long, copies long, at int, window binary")
+    windows = materialize(windows.withColumn("window", F.sha2("window", 256)), "hot-windows")
     again = windows.groupBy("window").agg(F.sum("copies").alias("times")).where("times > 1").select("window")
-    one = windows.join(again, "window").select("anchor", "seg", F.array("at", F.col("at") + 1).alias("range"))
-    many = live.where("times is not null").select("anchor", "seg", F.array("lo", F.col("hi") + 1).alias("range"))
-    return one.union(many).groupBy("anchor", "seg").agg(F.flatten(F.collect_list("range")).alias("ranges"))  # bounded by a segment
+    one_by_one = windows.join(again, "window").select("anchor", "seg", F.array("at", F.col("at") + 1).alias("ranges"))
+    marks = materialize(by_index.union(one_by_one), "hot-marks").withColumnsRenamed({"anchor": "core", "seg": "name"})
+    placed = pieces.join(marks, ["core", "name"]).select("anchor", "seg", F.transform("ranges", lambda x: x + F.col("lo")).alias("ranges"))
+    return placed.groupBy("anchor", "seg").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # bounded by a segment
 
 
 def remove_ranges(raw: bytes, windows: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -280,8 +298,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left) and kept_sha256 of every row; kept is null where nothing was removed.
 
     Null or empty text, and texts under 200 bytes, lose nothing. Rows repeated with one doc_id are rows like others: their texts repeat
-    each other. Null doc_id stays null. No rows: no rows. Other columns are neither read nor returned. The 64-bit
-    hashes that name segments and rows are assumed not to collide.
+    each other. Null doc_id stays null. No rows: no rows. Other columns are neither read nor returned. Segments and rows are
+    named by 128 bits of hash, which are assumed not to collide; whether windows are equal is decided on their bytes.
     """
     spark = docs.sparkSession
     repeated = materialize(_minimizers(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "minimizers")
@@ -298,21 +316,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return bodies.mapInPandas(run, "anchor long, seg long, copies long, back int, body binary")
 
     buckets = n_buckets(spark, bodies.count(), BUCKET_ROWS)
-    cold = split(False).groupBy(F.pmod(F.col("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: _bucket(pdf), "anchor long, seg long, ranges array<int>")
+    cold = split(False).groupBy(F.pmod(F.col("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: _bucket(pdf), _MARKS)
     marks = cold.union(_hot(split(True)))
     places = parts.where("kind = 0").select("anchor", "seg", "row_key", "start")
     spans = places.join(marks, ["anchor", "seg"]).groupBy("row_key").agg(F.collect_list(F.struct("start", "ranges")).alias("marks"))  # bounded by the document
-    spans = materialize(spans, "marks")
-    bits = spark.sparkContext.broadcast(bit_filter(spans, "row_key"))
+    spans = materialize(spans.withColumn("row_bits", F.expr("conv(concat_ws('', reverse(regexp_extract_all(hex(substring(row_key, 1, 8)), '(..)', 1))), 16, -10)").cast("long")), "marks")
+    bits = spark.sparkContext.broadcast(bit_filter(spans, "row_bits"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = list(_texts(pdf))
-            keys = np.array([_row_key(d, raw) for d, raw in rows], np.int64)
-            touched = passes(bits.value, keys)
-            yield pd.DataFrame({"row_key": keys, "doc_id": pd.array([d for d, _ in rows], dtype="Int64"), "n_bytes": [len(r) for _, r in rows], "sha": [hashlib.sha256(r).hexdigest() for _, r in rows], "raw": [r if t else None for t, (_, r) in zip(touched, rows)]})
+            keys = [_row_key(d, raw) for d, raw in rows]
+            touched = passes(bits.value, _key_bits(keys))
+            yield pd.DataFrame({"row_key": keys, "doc_id": [d for d, _ in rows], "n_bytes": [len(r) for _, r in rows], "sha": [hashlib.sha256(r).hexdigest() for _, r in rows], "raw": [r if t else None for t, (_, r) in zip(touched, rows)]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(read, "row_key long, doc_id long, n_bytes long, sha string, raw binary")
+    rows = _rows(docs).mapInPandas(read, "row_key binary, doc_id string, n_bytes long, sha string, raw binary")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -326,10 +344,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     row = (n, spans_, kept, hashlib.sha256(kept).hexdigest())
                 for k, v in zip(out, row):
                     out[k].append(v)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"]} | out)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"]} | out)
 
-    return rows.join(spans, "row_key", "left").select("doc_id", "n_bytes", "sha", "raw", "marks").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.join(spans, "row_key", "left").select("doc_id", "n_bytes", "sha", "raw", "marks").mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n_bytes - 199, 0))) AS i FROM n)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+islands AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM islands GROUP BY doc_id, island),
+parts AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM spans),
+kept AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substring(any_value(h), 2 * max(hi) + 1) AS rest FROM parts JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)
+"""
