@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_rows, materialize, table
 from .components import connected_components
 from .jaccard_join import forest
 
@@ -70,17 +70,17 @@ def _verify(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Partner counts of the x block's home vectors, and a forest of links, of one pair of blocks of a cell."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": [], "partners": []}, dtype=np.int64)
+        return pd.DataFrame({"a": [], "b": [], "partners": pd.Series([], dtype=np.int64)})
     u, v = _units(left["vec"]), _units(right["vec"])
-    ok = (u @ v.T >= cosine) & (left["cls"].to_numpy()[:, None] != right["cls"].to_numpy()[None, :])
+    x, y = left["cls"].to_numpy(object), right["cls"].to_numpy(object)
+    ok = (u @ v.T >= cosine) & (x[:, None] != y[None, :])
     partners = ok @ right["copies"].to_numpy(np.int64)
-    ids = np.concatenate([left["cls"].to_numpy(np.int64), right["cls"].to_numpy(np.int64)])
-    n = len(left)
+    n, ids = len(left), np.concatenate([x, y])
     linked = np.zeros((len(ids), len(ids)), bool)
     linked[:n, n:] = ok
     linked[n:, :n] = ok.T
-    edges = forest(ids, linked)
-    return pd.concat([pd.DataFrame(edges, columns=["a", "b"]).assign(partners=0), pd.DataFrame({"a": left["cls"].to_numpy(), "b": left["cls"].to_numpy(), "partners": partners})])
+    edges = pd.DataFrame([(ids[i], ids[k]) for i, k in forest(linked)], columns=["a", "b"]).assign(partners=0)
+    return pd.concat([edges, pd.DataFrame({"a": x, "b": x, "partners": partners})])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -93,13 +93,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     r = float(np.sqrt(2 - 2 * cosine))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [usable(e) for e in pdf["embedding"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("Int64"), "label": pdf["label"].astype("Int64"), "vec": [(np.asarray(e, np.float64) + 0.0).tobytes() if k else None for e, k in zip(pdf["embedding"], ok)]})
+    def read(columns: dict[str, list]) -> dict:
+        return {"vec": [(np.asarray(e, np.float64) + 0.0).tobytes() if usable(e) else None for e in columns["embedding"]]}
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").mapInPandas(read, "vec_id long, label long, vec binary")
-    rows = rows.withColumn("cls", F.when(F.col("label").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("label", F.sha2("vec", 256))))
+    rows = map_rows(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"), read, ["embedding"], "vec binary")
+    name = F.unhex(F.substring(F.sha2(F.concat(F.encode(F.col("label").cast("string"), "utf-8"), F.lit(b" "), F.col("vec")), 256), 1, 32))  # 128 bits
+    rows = rows.withColumn("cls", F.when(F.col("label").isNotNull() & F.col("vec").isNotNull(), name))
     rows = materialize(rows, "vectors")
     classes = materialize(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     lengths = classes.groupBy(F.length("vec").alias("bytes")).count().collect()  # a row for each length of vectors
@@ -117,7 +116,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 at, cell = np.nonzero(near)
                 yield pdf.iloc[at][["cls", "label", "vec", "copies"]].assign(cell=cell, home=home[at] == cell)
 
-        parts.append(own.select("cls", "label", "vec", "copies").mapInPandas(assign, "cls long, label long, vec binary, copies long, cell int, home boolean").withColumn("bytes", F.lit(row["bytes"])))
+        parts.append(own.select("cls", "label", "vec", "copies").mapInPandas(assign, "cls binary, label long, vec binary, copies long, cell int, home boolean").withColumn("bytes", F.lit(row["bytes"])))
     if parts:
         placed = parts[0]
         for p in parts[1:]:
@@ -129,12 +128,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         left = placed.where("home").select(*key, "cls", "vec", "copies", F.lit(0).alias("side"), F.col("own").alias("x"), other).withColumnRenamed("other", "y")
         right = placed.select(*key, "cls", "vec", "copies", F.lit(1).alias("side"), F.col("own").alias("y"), other).select(*key, "cls", "vec", "copies", "side", F.col("other").alias("x"), "y")
-        out = materialize(left.unionByName(right).groupBy(*key, "x", "y").applyInPandas(lambda pdf: _verify(pdf, cosine), "a long, b long, partners long"), "vector-links")
+        out = materialize(left.unionByName(right).groupBy(*key, "x", "y").applyInPandas(lambda pdf: _verify(pdf, cosine), "a binary, b binary, partners long"), "vector-links")
         counts = out.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("partners").alias("partners"))
         comps = connected_components(out.where("a <> b").select("a", "b")).withColumnRenamed("node", "cls")
     else:
-        counts = spark.createDataFrame([], "cls long, partners long")
-        comps = spark.createDataFrame([], "cls long, component long")
+        counts = spark.createDataFrame([], "cls binary, partners long")
+        comps = spark.createDataFrame([], "cls binary, component binary")
     label = classes.select("cls", "first_id", "copies").join(counts, "cls", "left").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
     label = label.join(least, "component").select("cls", "component_id", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -145,3 +144,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT *, vec_id = component_id AS kept FROM (SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS component_id FROM v)
+"""

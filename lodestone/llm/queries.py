@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-SQL = {"op3_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_embedding_near_dedup": embedding_dedup.SQL, "op3_mixing": mixing.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -277,11 +277,21 @@ def variants():
     return [(1000 + i * 7919 % 1009, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("rare, block", [(jaccard_join.RARE, jaccard_join.BLOCK), (3, 7)])
-def test_jaccard_classes(spark, messy, monkeypatch, rare, block):
+def of_passages(n, seed=9):
+    """Documents put together from a few passages, and near copies of some."""
+    r = random.Random(seed)
+    passages = [" ".join(f"p{r.randrange(3000)}" for _ in range(20)) for _ in range(12)]
+    out = [" ".join(r.sample(passages, 4)) for _ in range(n)]
+    out += [t.replace(" p1", " x1", 1) + " more" for t in out[::7]] + [passages[0] + " tail", passages[0], passages[0] + " other tail"]
+    return [(50_000 + i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("rare, block, leaders", [(jaccard_join.RARE, jaccard_join.BLOCK, jaccard_join.LEADERS), (3, 7, 1), (2, 3, 1)])
+def test_jaccard_classes(spark, messy, monkeypatch, rare, block, leaders):
     monkeypatch.setattr(jaccard_join, "RARE", rare)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    rows = variants() + [r[:2] for r in ROWS]
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    rows = variants() + of_passages(60) + [r[:2] for r in ROWS] + [(2**53 + 1, "an id over two to the fifty third"), (2**53 + 2, "another id over it")]
     docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, cls string, n string")
     assert rows_of(jaccard_join.jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == brute_classes(rows)
 
@@ -294,7 +304,11 @@ def test_jaccard_of_nothing(messy):
 
 
 def brute_perplexity(trusted, texts):
-    counts = {4: Counter(g for t in trusted for w in t.lower().split() for g in quality_lm.grams_of(w))}
+    def grams_of(t):
+        q = quality_lm.sequence_of(t)
+        return [q[i : i + 4] for i in range(len(q) - 3)]
+
+    counts = {4: Counter(g for t in trusted for g in grams_of(t))}
     for k in (3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     cut, hist = {}, {k: defaultdict(lambda: [0, 0.0]) for k in counts}
@@ -323,23 +337,47 @@ def brute_perplexity(trusted, texts):
 
     out = []
     for t in texts:
-        grams = [g for w in (t or "").lower().split() for g in quality_lm.grams_of(w)]
+        grams = grams_of(t)
         out.append(math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else 1.0)
     return out
 
 
-@pytest.mark.parametrize("most", [quality_lm.MODEL_ROWS, 0])
-def test_quality(spark, messy, labels, most):
+@pytest.mark.parametrize("block, chunk", [(quality_lm.BLOCK_CHARS, quality_lm.CHUNK), (300, 7)])
+def test_quality(spark, messy, labels, monkeypatch, block, chunk):
+    monkeypatch.setattr(quality_lm, "BLOCK_CHARS", block)
+    monkeypatch.setattr(quality_lm, "CHUNK", chunk)
     r = random.Random(2)
-    rows = [(i, " ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(20)), "en") for i in range(60)] + [(90, None, "en"), (91, "", None), (92, "zzz qqq", "xx"), (None, "zzz", "en")]
-    docs = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, lang string, gram string")
+    rows = [(i, " ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(20)), "en" if i % 3 else "fr") for i in range(60)]
+    rows += [(90, None, "en"), (91, "", None), (92, "zzz qqq", "xx"), (None, "zzz", "en"), (93, "\x02\x03 \0a", "en"), (94, "xq zj kw " * 30, "en"), (2**53 + 1, "中文 abc", None)]
+    docs = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, lang string, gram string").repartition(3)
     marks = spark.createDataFrame([(i, 1 if i < 40 else 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    trusted = [t for i, t, _ in rows if i is not None and i < 40 and zlib.crc32(str(i).encode()) % 4 != 2]
-    got = quality_lm.classify_quality(docs, marks, model_rows=most)
-    want = Counter((x[0], float(f"{p:.9g}")) for x, p in zip(rows, brute_perplexity(trusted, [x[1] for x in rows])))
-    assert Counter((x["doc_id"], float(f"{x['perplexity']:.9g}")) for x in got.collect()) == want
-    assert quality_lm.classify_quality(messy, labels, model_rows=most).count() == len(ROWS)
-    assert quality_lm.classify_quality(messy.limit(0), labels.limit(0), model_rows=most).count() == 0
+    sure = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+    got = quality_lm.classify_quality(docs, marks).collect()
+    want = brute_perplexity([t for i, t, _ in rows if i in sure], [x[1] for x in rows])
+    assert Counter((x["doc_id"], float(f"{x['perplexity']:.9g}")) for x in got) == Counter((x[0], float(f"{p:.9g}")) for x, p in zip(rows, want))
+    keep = {}
+    for (i, t, lang), p in zip(rows, want):
+        own = sorted(q for (k, u, other), q in zip(rows, want) if k in sure and other == lang)
+        most = own[math.ceil(quality_lm.QUANTILE * len(own)) - 1] * quality_lm.MARGIN if own else None
+        keep[i] = (most, most is None or not (t or "").translate(quality_lm.MARKS).split() or p <= most)
+    assert {x["doc_id"]: x["keep"] for x in got} == {i: k for i, (_, k) in keep.items()}
+    assert all((x["threshold"] is None) == (keep[x["doc_id"]][0] is None) and (x["threshold"] is None or math.isclose(x["threshold"], keep[x["doc_id"]][0], rel_tol=1e-6)) for x in got)
+    assert not keep[94][1] and quality_lm.classify_quality(messy, labels).count() == len(ROWS)
+    assert quality_lm.classify_quality(messy.limit(0), labels.limit(0)).count() == 0
+
+
+def test_word_order_counts():
+    a, b = quality_lm.sequence_of("one two"), quality_lm.sequence_of("two one")
+    assert set(quality_lm.distinct_grams([a])[0]) != set(quality_lm.distinct_grams([b])[0])
+
+
+def test_quality_held_out(spark):
+    docs, marks = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    got = quality_lm.classify_quality(docs, marks).toPandas().merge(marks.toPandas().dropna(subset=["quality"]), on="doc_id")
+    own = got[[zlib.crc32(str(d).encode()) % 4 == 2 for d in got["doc_id"]]]
+    good, bad = own[own["quality"] == 1], own[own["quality"] == 0]
+    print("kept of good", good["keep"].mean(), "rejected of bad", 1 - bad["keep"].mean())
+    assert good["keep"].mean() > 0.95
 
 
 # 7: repeated strings
@@ -373,6 +411,35 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_hot_minimizers(spark, monkeypatch):
+    """One passage whose edges thousands share, so that its minimizers are hot at the bound that production has."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(600)
+    rows = [(i, word(60) + passage[r.randrange(3) :] + word(60)) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removed(rows)
+
+
+# ids
+
+
+def test_ids_stay_whole(spark):
+    """Ids over 2^53 beside null in one partition, in all ten operators."""
+    big = (2**53 + 1, 2**53 + 3)
+    docs = spark.createDataFrame([(big[0], "one text of a few words", "en", "a"), (None, "another text of a few words", "de", "a"), (big[1], "a third text, unlike the others", "en", "b")], "doc_id long, text string, lang string, source string").coalesce(1)
+    marks = spark.createDataFrame([(big[0], 1, 0), (big[1], 0, 1)], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([(big[0], [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (big[1], [1.0, 0.01], 1)], "vec_id long, embedding array<float>, label int").coalesce(1)
+    want = Counter([(big[0],), (None,), (big[1],)])
+    out = [pii.detect_pii(docs), pii.digests(docs), mixing.plan_mix(docs), toxicity.score_toxicity(docs, marks), jaccard_join.jaccard_classes(docs), quality_lm.classify_quality(docs, marks), suffix_dedup.remove_repeats(docs), bpe.digests(docs), language_id.identify_language(docs), exact_dedup.exact_dedup(docs)]
+    for df in out:
+        assert rows_of(df, "doc_id") == want
+    near = embedding_dedup.near_duplicates(vectors)
+    assert rows_of(near, "vec_id", "component_id") == Counter([(big[0], big[0]), (None, None), (big[1], big[0])])
+    assert {r["component_id"] for r in jaccard_join.jaccard_classes(docs).collect()} == {big[0], None, big[1]}
+
+
 # 8: tokens
 
 
@@ -542,6 +609,11 @@ def test_stages_take_messy_rows(spark, messy, stage):
     assert run(spark, messy.limit(0), SMALL).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, same_as_sql, name):
+    same_as_sql(queries.QUERIES[name](spark, SMALL), queries.SQL[name])
+
+
 def test_every_query_is_registered():
     import __spark_entry__
 
