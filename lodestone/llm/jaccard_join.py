@@ -9,9 +9,11 @@ same set are one class first, and only components are asked for, so what is know
 * Sets whose prefix has no room without frequent tokens are indexed by their whole sets in that order. Sets of a bucket of a
   frequent token are held against the bucket's first set (a leader), those left against the next: near copies by the thousand become one component
   with as many comparisons as sets.
-* Buckets that still hold several components are compared whole up to BLOCK sets. Larger ones are indexed again by combinations: the token (or
-  tokens) of the bucket with each token of a prefix in the order of how often tokens occur within the bucket, those in all of its sets
-  left out. Buckets with the same sets count once. Sets that are nearly only what all share are held against those short enough for them.
+* Buckets that still hold several components are brought together where they share sets. In a group with at most MINOR sets outside its
+  largest component, those are held against all, in blocks, so that work grows with the group. The buckets of other groups are compared whole up to
+  BLOCK sets; larger ones are indexed again by combinations: the token (or tokens) of the bucket with each token of a prefix in the order of how
+  often tokens occur within the bucket, those in all of its sets left out. Buckets with the same sets count once. Sets that are nearly only what
+  all share are held against those short enough for them.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ RARE = 8
 #: Sets that one task compares with one another; larger buckets get combinations of one more token.
 BLOCK = 400
 #: Leaders that a bucket's sets are held against, one after the other, and most tokens of a combination (beyond them blocks meet in pairs).
-LEADERS, MOST_TOKENS = 2, 4
+LEADERS, MOST_TOKENS = 4, 4
+#: Sets outside the largest component of a group of buckets, at most, that are held against all sets of the group.
+MINOR = 2_000
 CACHE_WORDS = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -209,6 +213,27 @@ def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets, "cls").groupBy("key", "x", "y").applyInPandas(_verify_block, "a binary, b binary")
 
 
+def _grouped(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links in groups of mixed buckets (key, cls, part) whose sets outside the largest part are few, and the rows of the buckets of other groups."""
+    mixed = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("cls").alias("a")).where("lo <> hi").select("key", "a")
+    rows = materialize(rows.join(mixed, "key"), "mixed")
+    groups = connected_components(rows.select("a", F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    own = materialize(rows.select("cls", "part").distinct().join(groups, "cls", "left").select("cls", "part", F.coalesce("group", "cls").alias("group")), "grouped")
+    sizes = own.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("m"))
+    sizes = sizes.select("group", "m", F.col("top.part").alias("main"), (F.col("m") - F.col("top.n")).alias("u"))
+    known = materialize(own.join(sizes, "group"), "grouped")
+    h = F.xxhash64("cls")
+    few = known.where(F.col("u") <= MINOR).withColumn("across", F.ceil(F.col("u") / BLOCK).cast("int")).withColumn("down", F.ceil(F.col("m") / BLOCK).cast("int"))
+    few = few.withColumn("x", F.pmod(h, "across").cast("int")).withColumn("y", F.pmod(F.xxhash64("cls", F.lit(1)), "down").cast("int"))
+    columns = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: F.struct(i.alias("x"), F.col("y").alias("y")))
+    lines = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda j: F.struct(F.col("x").alias("x"), j.alias("y")))
+    cells = F.when(F.col("part") == F.col("main"), columns).otherwise(F.array_union(columns, lines))
+    dealt = few.select(F.col("group").alias("key"), "cls", "part", F.explode(cells).alias("cell")).select("key", "cls", "part", "cell.x", "cell.y")
+    links = dealt.join(sets, "cls").groupBy("key", "x", "y").applyInPandas(_verify_block, "a binary, b binary")
+    left = known.where(F.col("u") > MINOR).select("cls")
+    return materialize(links, "group-links"), materialize(rows.join(left, "cls", "left_semi").select("key", "cls", "part"), "other-buckets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The similar ones of pairs of classes."""
     own = pairs.select("a", "b")
@@ -364,7 +389,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(pairs, sets).union(_leaders(large, sets)), "links")
     parts = materialize(connected_components(links), "parts")
     rest = large.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
-    more = _combined(materialize(rest, "large-buckets"), sets)
+    more, others = _grouped(materialize(rest, "large-buckets"), sets)
+    if not others.isEmpty():
+        more = more.union(_combined(others, sets))
     if not more.isEmpty():
         parts = connected_components(links.union(more))
     label = ids.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -286,8 +286,9 @@ def of_passages(n, seed=9):
     return [(50_000 + i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("rare, block, leaders", [(jaccard_join.RARE, jaccard_join.BLOCK, jaccard_join.LEADERS), (3, 7, 1), (2, 3, 1)])
-def test_jaccard_classes(spark, messy, monkeypatch, rare, block, leaders):
+@pytest.mark.parametrize("rare, block, leaders, minor", [(jaccard_join.RARE, jaccard_join.BLOCK, jaccard_join.LEADERS, jaccard_join.MINOR), (2, 9, 1, 30), (2, 9, 1, 0)])
+def test_jaccard_classes(spark, messy, monkeypatch, rare, block, leaders, minor):
+    monkeypatch.setattr(jaccard_join, "MINOR", minor)
     monkeypatch.setattr(jaccard_join, "RARE", rare)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
