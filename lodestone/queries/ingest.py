@@ -100,7 +100,7 @@ _add("property_admission", lambda s, d: entities.property_rows(_described(s, d))
 _add("dump_property_usage", lambda s, d: entities.property_usage(_described(s, d), SETTINGS), f"WITH {_PARTS} SELECT * FROM (SELECT 'P1' AS pid, count(*) FILTER (k % 2 = 1 AND k % 11 <> 0) AS n FROM e WHERE item UNION ALL SELECT 'P31', count(*) FILTER (k % 7 <> 0) FROM e WHERE item UNION ALL SELECT 'P571', count(*) FILTER (k % 12 = 6) FROM e WHERE item) WHERE n > 0")
 _add("dump_tag_usage", lambda s, d: entities.tag_usage(_described(s, d), _dictionary(s), "text", SETTINGS.text_tags), f"WITH {_PARTS} SELECT CASE text_mask WHEN 1 THEN 'Q100' WHEN 2 THEN 'Q103' ELSE 'Q200' END AS tag, count(*) AS n FROM e WHERE in_text AND text_mask > 0 GROUP BY 1")
 _add("dump_lang_breakdown", lambda s, d: entities.lang_breakdown(_described(s, d)), f"WITH {_PARTS} " + " UNION ALL ".join(f"SELECT '{i}' AS index, '{lang}' AS lang, count(*) AS n FROM e WHERE in_{i} AND k % {m} = 0 GROUP BY 1, 2" for i in _INDEXES for lang, m in (("en", 3), ("de", 5))))
-_add("tag_join", lambda s, d: tags.tag_entities(_described(s, d).where("used").select(T.parse_id(F.col("id")).alias("qid"), F.explode("classes").alias("class_qid")), _dictionary(s)), f"WITH {_PARTS} SELECT k + 1 AS qid, [CASE class WHEN 100 THEN 'Q100' WHEN 101 THEN 'Q200' WHEN 102 THEN 'Q102' WHEN 103 THEN 'Q103' WHEN 104 THEN 'Q103' ELSE 'Q200' END] AS tags FROM e WHERE used")
+_add("tag_join", lambda s, d: tags.tag_entities(_described(s, d).where("used").select(T.parse_id(F.col("id")).alias("qid"), F.explode("classes").alias("class_qid")), _dictionary(s)).select("qid", F.array_join("tags", ",").alias("tags")), f"WITH {_PARTS} SELECT k + 1 AS qid, CASE class WHEN 100 THEN 'Q100' WHEN 101 THEN 'Q200' WHEN 102 THEN 'Q102' WHEN 103 THEN 'Q103' WHEN 104 THEN 'Q103' ELSE 'Q200' END AS tags FROM e WHERE used")
 _add("tag_dictionary_counts", lambda s, d: _dictionary(s).groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES ('Q100', 1), ('Q102', 1), ('Q103', 2), ('Q200', 4)) t(tag, n)")
 _add("union_vocabularies", lambda s, d: entities.union_vocabularies(read(s, d, "part").select("p_type"), read(s, d, "part").select("p_brand"), read(s, d, "customer").select("c_mktsegment")), "SELECT p_type AS tag FROM part UNION SELECT p_brand FROM part UNION SELECT c_mktsegment FROM customer")
 _VALUES = [
