@@ -35,6 +35,15 @@ ROWS = [
 ]
 
 
+STEPS = toxicity.STEPS
+
+
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    """Tests that don't measure the network train it briefly; test_toxicity_held_out sets the production value again."""
+    monkeypatch.setattr(toxicity, "STEPS", 8)
+
+
 @pytest.fixture(scope="module")
 def messy(spark):
     return spark.createDataFrame([r + (None,) + tuple("x" if i % 2 else None for i in range(len(CLASH))) for r in ROWS], SCHEMA)
@@ -169,7 +178,8 @@ def test_mixing(spark, messy, same_as_sql):
 # 4: toxicity
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_held_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", STEPS)
     docs, marks = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
     got = toxicity.score_toxicity(docs, marks).toPandas()
     assert len(got) == docs.count() and got["score"].between(0, 1).all()
