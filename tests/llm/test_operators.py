@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import SMALL, bag
@@ -308,6 +309,30 @@ def test_jaccard_classes(spark, messy, monkeypatch, rare, block, leaders, minor)
     assert rows_of(jaccard_join.jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == brute_classes(rows)
 
 
+def test_jaccard_screen():
+    """Only sets that sketches can't tell apart are compared as sets, in pieces; no similar pair of different parts is lost."""
+    rng = random.Random(5)
+    common = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(120):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([9, 80, 85, 400, 420]))]
+        texts.append(" ".join(common + own))
+        if i % 6 == 0:
+            texts.append(" ".join([*common, *own, "end"]))
+    sets = [jaccard_join.shingle_set(t) for t in texts]
+    packed = [jaccard_join.pack(jaccard_join.words_of(t)) for t in texts]
+    assert all((jaccard_join.unpack(x) == s).all() for x, s in zip(packed, sets))
+    pdf = pd.DataFrame({"key": b"k", "x": 0, "y": 0, "cls": [jaccard_join.class_id(s) for s in sets], "n": [len(s) for s in sets], "sketch": [jaccard_join.parity_sketch(s) for s in sets]}).assign(part=lambda d: d["cls"])
+    similar = {(i, k) for i in range(len(sets)) for k in range(len(sets)) if i != k and jaccard_join.similar(sets[i], sets[k])}
+    found = set(zip(*np.nonzero(jaccard_join.candidates(pdf["n"].to_numpy(), pdf["sketch"].tolist(), np.arange(len(sets))))))
+    assert similar <= found and len(similar) >= 40 and len(found) < len(sets) ** 2 / 10
+    left = jaccard_join._screen(pdf)
+    assert set(left["cls"]) == {pdf["cls"][i] for i, _ in found} and len(set(left["cls"])) < len(sets)
+    edges = [jaccard_join._verify_block(own.assign(packed=own["cls"].map(dict(zip(pdf["cls"], packed))))) for _, own in left.groupby("z")]
+    assert {frozenset(x) for e in edges for x in e.to_numpy().tolist()} == {frozenset((pdf["cls"][i], pdf["cls"][k])) for i, k in similar}
+    assert not len(jaccard_join._screen(pdf.assign(part=b"one")))
+
+
 def test_jaccard_of_nothing(messy):
     assert jaccard_join.jaccard_classes(messy.limit(0)).count() == 0
 
