@@ -169,22 +169,42 @@ def gram_log_probability(gram: str, model: dict[str, tuple[float | None, float |
 _NONE = (None, None)
 
 
+def pack_rows(rows: pa.RecordBatch) -> bytes:
+    """doc_id, lang and sequence of some rows, in compressed Arrow: they are written once and shuffled once."""
+    sequences = pa.array([sequence_of(t) for t in rows.column("text").to_pylist()], pa.string())
+    own = pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), sequences], ["doc_id", "lang", "sequence"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(own)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
 def _in_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and text with `block`, a number that some neighbours of a partition share; written, so that it stays."""
+    """`block`, a number that some neighbours of a partition share, and these, packed, in a row or more; written, so that it stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            numbers = []
-            for n in batch.column("chars").to_pylist():
+            first, numbers, packed = 0, [], []
+            for i, n in enumerate(batch.column("chars").to_pylist()):
                 if size and size + n > BLOCK_CHARS:
-                    block, size = block + 1, 0
-                numbers.append(block)
+                    if i > first:
+                        numbers.append(block)
+                        packed.append(pack_rows(batch.slice(first, i - first)))
+                    block, size, first = block + 1, 0, i
                 size += n
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "text")), pa.array(numbers, pa.int64())], ["doc_id", "lang", "text", "block"])
+            if batch.num_rows > first:
+                numbers.append(block)
+                packed.append(pack_rows(batch.slice(first)))
+            for number, own in zip(numbers, packed):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([own], pa.binary())], ["block", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    return materialize(rows.mapInArrow(run, "doc_id long, lang string, text string, block long"), "quality-blocks")
+    return materialize(rows.mapInArrow(run, "block long, packed binary"), "quality-blocks")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
@@ -199,19 +219,13 @@ def _asked(blocks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([block] * len(names), pa.int64()), pa.array(list(names), pa.string())], ["block", "gram"])
 
         for batch in batches:
-            numbers, texts = batch.column("block").to_pylist(), batch.column("text").to_pylist()
-            i = 0
-            while i < len(numbers):
-                j = i
-                while j < len(numbers) and numbers[j] == numbers[i]:
-                    j += 1
-                if block is not None and numbers[i] != block and held:
+            for number, packed in zip(batch.column("block").to_pylist(), batch.column("packed")):
+                if number != block and held:
                     yield out()
                     held.clear()
-                block = numbers[i]
-                for some in chunks([sequence_of(t) for t in texts[i:j]]):
+                block = number
+                for some in chunks(unpack_rows(packed.as_buffer()).column("sequence").to_pylist()):
                     held.update(distinct_grams([p for _, p in some])[0])
-                i = j
         if held:
             yield out()
 
@@ -227,7 +241,8 @@ def _perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         names = dict(zip(known.column("gram").to_pylist(), zip(known.column("p").to_pylist(), known.column("gamma").to_pylist()))) | top
-        texts = [sequence_of(t) for t in rows.column("text").to_pylist()]
+        rows = pa.concat_tables([unpack_rows(x.as_buffer()) for x in rows.column("packed")])
+        texts = rows.column("sequence").to_pylist()
         sums, units, logs = np.zeros(len(texts)), np.zeros(len(texts), np.int64), {}
         for some in chunks(texts):
             grams, number, starts = distinct_grams([p for _, p in some])

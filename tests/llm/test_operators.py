@@ -333,6 +333,15 @@ def test_jaccard_screen():
     assert not len(jaccard_join._screen(pdf.assign(part=b"one")))
 
 
+def test_quality_blocks_are_packed(spark, messy):
+    """Blocks hold each row's sequence once, at less than half its bytes on documents: no plain text is written or shuffled."""
+    for docs, least in ((table(spark, MIDDLE, "documents"), 2), (messy, 0)):
+        blocks = quality_lm._in_blocks(docs).collect()
+        rows = [r for b in blocks for r in quality_lm.unpack_rows(bytes(b["packed"])).to_pylist()]
+        assert Counter((r["doc_id"], r["lang"], r["sequence"]) for r in rows) == Counter((r["doc_id"], r["lang"], quality_lm.sequence_of(r["text"])) for r in docs.collect())
+        assert least * sum(len(b["packed"]) for b in blocks) < sum(len(r["sequence"].encode()) for r in rows)
+
+
 def test_jaccard_of_nothing(messy):
     assert jaccard_join.jaccard_classes(messy.limit(0)).count() == 0
 
