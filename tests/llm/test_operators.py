@@ -17,6 +17,7 @@ import pytest
 from conftest import SMALL, bag
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tiktoken import Encoding
 from tiktoken.load import load_tiktoken_bpe
 
@@ -342,6 +343,26 @@ def test_quality_blocks_are_packed(spark, messy):
         assert least * sum(len(b["packed"]) for b in blocks) < sum(len(r["sequence"].encode()) for r in rows)
 
 
+def test_workers_give_memory_back(spark, messy):
+    """A worker that has read texts holds neither their words nor the allocator's rest in the next task; score_rows reads texts from the row it returns."""
+
+    def held(batches):
+        for _ in batches:
+            pass
+        import pyarrow as pa
+
+        from lodestone.llm import jaccard_join
+
+        yield pa.RecordBatch.from_pydict({"n": [len(jaccard_join._words) + jaccard_join.unpack.cache_info().currsize]})
+
+    docs = table(spark, MIDDLE, "documents")
+    for found in (jaccard_join._scan(docs, True), jaccard_join.whole_sets(docs, jaccard_join._scan(docs, False).select("cls", F.col("doc_id").alias("first_id")))):
+        found.write.format("noop").mode("overwrite").save()
+        assert spark.range(64).repartition(8).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+    rows = toxicity.score_rows(messy, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert rows_of(rows, "given_row.doc_id", "given_row.text") == rows_of(messy, "doc_id", "text")
+
+
 def test_jaccard_of_nothing(messy):
     assert jaccard_join.jaccard_classes(messy.limit(0)).count() == 0
 
