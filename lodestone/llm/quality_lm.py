@@ -3,7 +3,7 @@
 N-grams run over word edges, so the order of words counts. Counts of all trusted documents are pre-aggregated by task and summed by n-gram; lower
 orders, sums of histories, discounts and interpolated probabilities are joins and sums of those tables, dealt by n-gram. Documents are written once
 in blocks of some megabytes; the distinct n-grams of each block, their suffixes and histories are joined with the model in shards by n-gram, and what is
-found comes back to the block, whose documents it scores. No table of the model is gathered anywhere, so none has to be small. A document is kept if
+found comes back to the block, which stays where it was written and whose documents it scores. No table of the model is gathered anywhere, so none has to be small. A document is kept if
 its perplexity is at most MARGIN times the QUANTILE of the trusted documents of its language.
 """
 
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, fold, materialize, table
+from .common import HELD_OUT, fold, materialize, materialize_dealt, table
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -170,11 +170,11 @@ _NONE = (None, None)
 
 
 def pack_rows(rows: pa.RecordBatch) -> bytes:
-    """doc_id, lang and sequence of some rows, in compressed Arrow: they are written once and shuffled once."""
+    """doc_id, lang and sequence of some rows, in compressed Arrow: they are written once, and not shuffled."""
     sequences = pa.array([sequence_of(t) for t in rows.column("text").to_pylist()], pa.string())
     own = pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), sequences], ["doc_id", "lang", "sequence"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_batch(own)
     return sink.getvalue().to_pybytes()
 
@@ -184,7 +184,7 @@ def unpack_rows(packed: bytes) -> pa.Table:
 
 
 def _in_blocks(docs: DataFrame) -> DataFrame:
-    """`block`, a number that some neighbours of a partition share, and these, packed, in a row or more; written, so that it stays."""
+    """`block`, a number that some neighbours of a partition share, and these, packed, in a row or more; written, so that it stays, dealt by block, so that it isn't shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
@@ -204,7 +204,7 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([own], pa.binary())], ["block", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    return materialize(rows.mapInArrow(run, "block long, packed binary"), "quality-blocks")
+    return materialize_dealt(rows.mapInArrow(run, "block long, packed binary"), "quality-blocks", "block")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:

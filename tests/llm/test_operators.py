@@ -343,6 +343,17 @@ def test_quality_blocks_are_packed(spark, messy):
         assert least * sum(len(b["packed"]) for b in blocks) < sum(len(r["sequence"].encode()) for r in rows)
 
 
+def test_quality_blocks_stay_where_written(spark, messy, labels):
+    """Texts are never shuffled: the blocks' side of the last join has no exchange, nothing above the joins by n-gram has one for them, and no table's name is left."""
+    model = spark.createDataFrame([("", 0.1, None), ("one ", 0.5, None)], "gram string, p double, gamma double")
+    plan = quality_lm._perplexities(messy, model)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    packed = next(x for x in plan.splitlines() if "packed#" in x and "FileScan" in x)
+    above = plan.splitlines()[: plan.splitlines().index(packed)]
+    assert "Bucketed: true" in packed and not any("Exchange" in x for x in above), plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quality")]
+
+
 def test_workers_give_memory_back(spark, messy):
     """A worker that has read texts holds neither their words nor the allocator's rest in the next task; score_rows reads texts from the row it returns."""
 
