@@ -142,6 +142,32 @@ def test_cells_lose_no_pair():
         assert near[j, home[i]]
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_copies_are_not_compared(spark, monkeypatch, block):
+    """Near copies of a few vectors: links as by brute force, and many of them stand in cores, whose pairs are counted and not compared."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    seen, pairs = {}, []
+    for each in (20, 80):
+        r = np.random.default_rng(each)
+        centres = r.standard_normal((6, 64))
+        centres[1] = centres[0] + 0.17 * r.standard_normal(64)  # balls that visit one another
+        spread = np.where(r.random(6 * each) < 0.1, 0.13, 0.08)[:, None]
+        u = np.concatenate([np.repeat(centres, each, axis=0) + spread * r.standard_normal((6 * each, 64)), r.standard_normal((10, 64))])
+        label = [0 if i < 2 * each else i % 2 for i in range(len(u))]
+        df = spark.createDataFrame([(i, [float(c) for c in x], k) for i, (x, k) in enumerate(zip(u, label))], "vec_id long, embedding array<double>, label long")
+        got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup.near_duplicates(df).collect()}
+        n = u / np.linalg.norm(u, axis=1, keepdims=True)
+        ok = (n @ n.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
+        links = {i: set(np.flatnonzero(ok[i]).tolist()) - {i} for i in range(len(u))}
+        least = smallest(links, range(len(u)))
+        assert got == {i: (len(links[i]), least[i]) for i in range(len(u))}
+        found = embedding_dedup.balls_of(pd.DataFrame({"label": label, "vec": [x.tobytes() for x in u]}))
+        place = np.concatenate([embedding_dedup.places(n[[i for i, k in enumerate(label) if k == own]], c, 0.98)[2] for own, c in found.items()])
+        seen[each] = (place == embedding_dedup.CORE).mean()
+        pairs.append(sum(map(len, links.values())))
+    assert min(seen.values()) > 0.3 and pairs[1] > 10 * pairs[0]
+
+
 def smallest(links, nodes):
     out = {}
     for n in sorted(nodes):
