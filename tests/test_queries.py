@@ -51,3 +51,14 @@ def test_closure_takes_cycles(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = tags.subclass_closure(edges, spark.createDataFrame([(1,)], "tag int")).collect()
     assert sorted((r["child"], r["tag"]) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+@pytest.mark.parametrize("name, times", [("used_anywhere", 1), ("tag_join", 1), ("dump_tag_usage", 1), ("entity_metadata", 1), ("sitelink_filter", 1), ("parse_sanity_checks", 2), ("entity_route", 2), ("entity_route_astro", 2)])
+def test_lines_are_parsed_once(spark, name, times):
+    """A relation parses a line once, and once more where it has to have the tags; conditions don't parse it again."""
+    plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == times
+
+
+def test_few_parts_reach_all_cores(spark):
+    assert queries.ingest.lines(spark, SMALL).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
