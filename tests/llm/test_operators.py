@@ -400,6 +400,12 @@ def test_workers_give_memory_back(spark, messy):
     assert rows_of(rows, "given_row.doc_id", "given_row.text") == rows_of(messy, "doc_id", "text")
 
 
+def test_jaccard_reads_texts_once(messy):
+    """The labels come from the sets that were made for the join: no text goes to Python again."""
+    plan = jaccard_join.jaccard_classes(messy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "text" not in plan
+
+
 def test_jaccard_of_nothing(messy):
     assert jaccard_join.jaccard_classes(messy.limit(0)).count() == 0
 
