@@ -1,10 +1,12 @@
 """Every reference query equals its SQL; tables that were written open again; helpers hold against small brute force."""
 
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from lodestone import queries
+from lodestone.functions import compression
 from lodestone.operators import offsets, tags
 from lodestone.operators.search import Database, SearchQuery
 from lodestone.plans import manifest
@@ -62,3 +64,13 @@ def test_lines_are_parsed_once(spark, name, times):
 
 def test_few_parts_reach_all_cores(spark):
     assert queries.ingest.lines(spark, SMALL).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_pieces_of_a_batch(monkeypatch):
+    monkeypatch.setattr(compression, "PIECE_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "c", "d" * 30, "", "e" * 9, "é"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "text": texts})
+    found = list(compression._pieces(batch, "text"))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in found] == [3, 1, 1, 2, 1]
+    assert not list(compression._pieces(batch.slice(0, 0), "text"))
